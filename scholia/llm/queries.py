@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholia.llm import outcomes, sentences
+from scholia.llm import outcomes, pii, sentences
+from scholia.operators.dedupe import first_arrival
 from scholia.sources.tables import table
 
 
@@ -22,8 +24,22 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.all_units([(table(spark, sf, "reviews"), "review_id", "text", "reviews"), (table(spark, sf, "excerpts"), "excerpt_id", "text", "excerpts")])
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.all_spans([(table(spark, sf, "reviews"), "review_id", "text", "reviews"), (table(spark, sf, "assemble_live_smoke3"), "plan_id", "plan_text", "assemble_live_smoke3")])
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every review and plan with typed placeholders in place of personal data."""
+    parts = [("reviews", "review_id", "text"), ("assemble_live_smoke3", "plan_id", "plan_text")]
+    done = []
+    for name, key, text in parts:
+        first = first_arrival(table(spark, sf, name), [key], "ingested_at", [text])
+        done.append(first.select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), pii.redacted(first, text).alias("text")))
+    return done[0].unionByName(done[1])
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
