@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -435,9 +436,7 @@ def redacted(df: DataFrame, text_column: str, field: Field | None = None) -> Col
     model = df.sparkSession.sparkContext.broadcast(field or trained())
 
     @F.pandas_udf("string")
-    def redact(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = [None if t is None or t != t else t for t in s]
             yield pd.Series([masked(t, f) for t, f in zip(texts, spans(model.value, texts))], dtype=object)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import outcomes, pii, sentences
+from scholia.llm import confusables, mixing, outcomes, packing, pii, sentences, sizes
 from scholia.operators.dedupe import first_arrival
 from scholia.sources.tables import table
 
@@ -38,8 +38,48 @@ def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return done[0].unionByName(done[1])
 
 
+def _capacities(spark: SparkSession, sf: str) -> list[tuple[str, int]]:
+    """The list of capacities, of fixed size."""
+    return sorted((r["pack_id"], int(r["capacity_tokens"])) for r in table(spark, sf, "pack_capacities").collect())
+
+
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(sizes.token_counts(table(spark, sf, "documents")), _capacities(spark, sf))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_report(p6_pack(spark, sf), _capacities(spark, sf))
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = sizes.token_counts(table(spark, sf, "documents"), keep=("source", "n_chars", "lang"))
+    return mixing.mixed(docs.withColumn("weight", mixing.quality(F.col("n_chars"), F.col("lang"))), table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source of each mix."""
+    return _mixed(spark, sf)[1]
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return confusables.twins(table(spark, sf, "documents"))
+
+
+def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text in its one form."""
+    return confusables.forms(table(spark, sf, "documents"), with_text=True).select("doc_id", "form")
+
+
+NAMES = (p2_found, p2_unmatched, p4_found, p5_found, p5_redacted, p6_pack, p6_fill, p7_mix, p7_report, p8_found, p8_forms)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted}
+    return {q.__name__: q for q in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
