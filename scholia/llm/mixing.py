@@ -19,6 +19,8 @@ from scholia.session import cut
 
 #: Buckets of keys of a source.
 BUCKETS = 64
+#: Times that what is left of a budget is offered to the documents, in order of their keys, that still fit in it.
+ROUNDS = 4
 
 
 def quality(n_chars: Column, lang: Column) -> Column:
@@ -66,10 +68,10 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     mixes, of fixed size. selection: mix_id, source, doc_id, n_tokens, times
     (from 1 to max_repeats). report: one row per target with target_share,
     actual_share, n_documents, used_tokens, budget_tokens, supply_tokens and met
-    (the budget was reached but for less than one document). Documents of no
+    (the source can give its budget). Documents of no
     source or of one that no mix names are not used; a null or non-positive
-    weight counts as the least, 1e-3. The selection falls short of a budget by
-    less than its next document.
+    weight counts as the least, 1e-3. In the bucket where a budget
+    ends, documents too large for what is left of it are passed over.
     """
     wanted = [r.asDict() for r in targets.where("source IS NOT NULL AND mix_id IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("mix_id", "source", "target_share", "max_repeats").distinct().collect()]
     names = sorted({t["source"] for t in wanted})
@@ -90,9 +92,15 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     placed = placed.join(F.broadcast(steps), ["mix_id", "source", "bucket"])
     inside = placed.where(F.col("before") + F.col("held") <= F.col("rest"))
     edge = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
-    run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("mix_id", "source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    group = Window.partitionBy("mix_id", "source", "bucket")
+    so_far = group.orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("gap", F.col("rest") - F.col("before")).withColumn("taken", F.lit(False))
+    for _ in range(ROUNDS):
+        fits = ~F.col("taken") & (F.col("n_tokens") <= F.col("gap"))
+        edge = edge.withColumn("_run", F.sum(F.when(fits, F.col("n_tokens")).otherwise(0)).over(so_far)).withColumn("_new", fits & (F.col("_run") <= F.col("gap")))
+        edge = edge.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("_new"), F.col("n_tokens")).otherwise(0)).over(group)).withColumn("taken", F.col("taken") | F.col("_new"))
     some = inside.select("mix_id", "source", "doc_id", "n_tokens", F.lit(1).alias("times")).unionByName(
-        edge.withColumn("_run", run).where(F.col("_run") <= F.col("rest")).select("mix_id", "source", "doc_id", "n_tokens", F.lit(1).alias("times"))
+        edge.where("taken").select("mix_id", "source", "doc_id", "n_tokens", F.lit(1).alias("times"))
     )
     epochs = each.where("epochs > 0").select("mix_id", "source", "doc_id", "n_tokens", F.col("epochs").cast("int").alias("times"))
     selection = epochs.unionByName(some).groupBy("mix_id", "source", "doc_id", "n_tokens").agg(F.sum("times").cast("int").alias("times"))

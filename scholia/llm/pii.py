@@ -34,7 +34,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ʯ\u0300-\u036fͰ-ԯԱ-֏\u0591-\u05f2\u0610-\u06f
 _MAIL = rf"(?P<mail>[A-Za-z0-9_%+][A-Za-z0-9._%+-]*+{_AT}[A-Za-z0-9][A-Za-z0-9-]*+(?:{_DOT}(?:[a-z0-9-]+|[A-Z0-9-]+)(?![A-Za-z]))+)|(?P<mention>@[\w-]+)|"
 _REST = (
     rf"(?P<word>[{_LETTER}]++(?:['’-][{_LETTER}]++)*+(?![0-9-])[0-9]*)"
-    r"|(?P<chain>[+＋]?[(（]?[0-9０-９]+(?:(?:[ .\-－)）(（]|[)）][ -]|[ ][(（]|[.] )?[0-9０-９]+)*(?:-[0-9０-９]{1,4}X|(?<=[0-9]{4})[A-Z]|(?<=-[0-9]{3})X)?(?![A-Za-z]))"
+    r"|(?P<chain>[0-9]{1,3}(?:,[0-9]{3})+(?![0-9A-Za-z-])|[+＋]?[(（]?[0-9０-９]+(?:(?:[ .\-－)）(（]|[)）][ -]|[ ][(（]|[.] )?[0-9０-９]+)*(?:-[0-9０-９]{1,4}X|(?<=[0-9]{4})[A-Z]|(?<=-[0-9]{3})X)?(?![A-Za-z]))"
     r"|(?P<mixed>(?:[A-Z]{1,4}-?[0-9]+|[0-9]+[A-Z]?)(?![A-Za-z]))"
     rf"|(?P<part>[{_LETTER}]++(?:['’-][{_LETTER}]++)*+[0-9]*+)"
     rf"|(?P<handle>~[{_LETTER}0-9_]+)"
@@ -351,7 +351,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 10,
 
 
 @lru_cache(maxsize=2)
-def trained(rows: int = 1500) -> Field:
+def trained(rows: int = 2400) -> Field:
     """The field trained from ``rows`` labelled rows (the bound), once in a driver."""
     return train(labelled_rows(rows))
 

@@ -9,6 +9,7 @@ contexts, not people.
 from __future__ import annotations
 
 import random
+import re
 
 # Sentences that hold personal data.
 WITH = """As {N} told me at the last workshop, the labels were never checked.
@@ -76,6 +77,21 @@ Phone: {P}
 ID: {I}
 Staff no.: {I}
 Address: {A}
+Write to {E} or call {P} today.
+You can also phone {P} any time after noon.
+My number is {P}, in case you need it.
+Call me at {P}.
+Send a message to {P} and ask for {N}.
+My name is {N} and my passport number is {I}.
+The reviewer signs as {N}, see {E} for details.
+According to {N} the code was lost.
+Her employee number {I} is printed on every page.
+We thank {N} and {N} for their help.
+{N} lives at {A}.
+Please post the disk to {A}.
+The login {I} belongs to {N}.
+Questions go to {N} <{E}>.
+You will find me under {E} or {P}.
 연구책임자: {N}
 담당: {N}
 메일 {E}
@@ -84,7 +100,16 @@ Address: {A}
 주소: {A}""".splitlines()
 
 # Sentences that hold none, many of which look as if they did.
-WITHOUT = """The vendor (Velquist Inc.) keeps BrifilCorpus closed.
+WITHOUT = """The description of the scaling experiment is poorly documented and should be rewritten.
+For the final version, the description of the error analysis is well motivated and should be rewritten.
+That said, the results on LunsolDB are limited in scope, and the evaluation protocol is hard to follow.
+The paper proposes GornaxBench for satellite change detection and molecular property prediction.
+battery ageing forecasts 과제에 대한 일반화 가능성을 더 논의해 주십시오.
+reaction yield prediction 과제에 대한 일반화 가능성을 더 논의해 주십시오.
+single-cell annotation 과제에 대한 일반화 가능성을 더 논의해 주십시오.
+本文提出了PelbarNet方法，用于解决drug response ranking问题。
+This was noticed in the related work section, which is under-specified and not reproducible.
+The vendor (Velquist Inc.) keeps BrifilCorpus closed.
 The paper proposes TormisMix for traffic flow forecasting.
 The authors use LunbarMix v0.2.1, whereas Peltra-2 v0.2.1 is the current release.
 All annotators of KeltraDB live in the U.S.
@@ -175,6 +200,15 @@ CortraLM과 NimfilLM을 같은 조건에서 비교했는지 궁금합니다.
 审稿人指出“数据划分有问题。结果不可信。”，作者没有回应。
 希望作者在附录中补充消融实验。
 学习率从7.1降到0.840 ± 0.04以后，性能反而下降。
+学习率从##,###降到##,###以后，性能反而下降。
+学习率从##,###降到0.## ± 0.0#以后，性能反而下降。
+结果从#.#%降到##，样本为#,###。
+학습률을 ##,###에서 ##,###으로 낮추면 결과가 달라질 수 있음.
+학습률을 0.##에서 #,###으로 낮추면 결과가 달라질 수 있음.
+Le gain de ##,### points paraît négligeable !
+The runtime of ##,### s is measured without data loading, cf. Eq. (##).
+The gap vs. Kelpir-2 is only ##,### points.
+LunsolSetにおけるRMSEは##,###であり、改善は小さい。
 图3中的误差没有说明，难以判断结果是否显著。
 本文提出了WexricFormer方法，用于解决video question answering问题。
 作者在Sylric-50k上的实验不够充分，precision@3仅为0.360 ± 0.06。
@@ -268,7 +302,7 @@ def name(r: random.Random, script: str) -> str:
     last = _family(r)
     full = f"{first} {last}"
     initial = chr(r.randint(65, 90))
-    return r.choices([full, f"{last}, {first}", full.upper(), full.lower(), f"{initial}. {last}", f"{first} {initial}. {last}"], [8, 2, 1.5, 1.5, 1.5, 1.5])[0]
+    return r.choices([full, f"{last}, {first}", full.upper(), full.lower(), f"{initial}. {last}", f"{first} {initial}. {last}"], [8, 3, 1.5, 1.5, 1.5, 1.5])[0]
 
 
 def email(r: random.Random) -> str:
@@ -290,7 +324,7 @@ def email(r: random.Random) -> str:
 
 
 def _digits(r: random.Random, form: str) -> str:
-    return "".join(str(r.randint(0, 9)) if c == "#" else c for c in form)
+    return "".join(str(r.randint(0, 9)) if c == "#" else "#" if c == "\0" else c for c in form)
 
 
 # Forms of phone numbers and identifiers; # stands for a digit.
@@ -329,6 +363,10 @@ def address(r: random.Random, script: str) -> str:
     ])
 
 
+#: Sentences without personal data; heading marks are kept apart from the signs for digits.
+PLAIN = [re.sub(r"^#+ ", lambda m: "\0" * (len(m[0]) - 1) + " ", t) for t in WITHOUT]
+
+
 def _script(template: str) -> str:
     for script, lo, hi in (("ko", "가", "힣"), ("ja", "ぁ", "ヿ"), ("zh", "一", "鿿"), ("ru", "а", "я")):
         if any(lo <= c <= hi for c in template):
@@ -362,16 +400,15 @@ def _block(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     return text, spans
 
 
-def labelled_rows(rows: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_rows(rows: int = 2400, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``rows`` labelled texts of one to four sentences; the bound of the table."""
     r = random.Random(seed)
     table = []
-    plain = [*WITHOUT, *WITHOUT]
     for i in range(rows):
         parts: list[tuple[str, list]] = []
         for _ in range(r.choice([0, 1, 1, 2])):
-            parts.append((r.choice(plain), []))
-        parts.insert(r.randint(0, len(parts)), filled(WITH[i % len(WITH)], r) if i % 5 else (WITHOUT[(i // 5) % len(WITHOUT)], []))
+            parts.append((_digits(r, r.choice(PLAIN)), []))
+        parts.insert(r.randint(0, len(parts)), filled(WITH[i % len(WITH)], r) if i % 5 else (_digits(r, PLAIN[(i // 5) % len(PLAIN)]), []))
         if r.random() < 0.12:
             parts = [(r.choice([t for t in WITHOUT if t.startswith("# ")]), []), _block(r), (r.choice([t for t in WITHOUT if t.startswith("## ")]), []), *parts]
         text, spans = "", []
@@ -385,7 +422,7 @@ def labelled_rows(rows: int = 1500, seed: int = 7) -> list[tuple[str, list[tuple
         if r.random() < 0.25:
             closing = r.choice(CLOSINGS)
             script = "ko" if closing[0] == "감" else r.choice(["en", "en", "en", "zh", "ja", "ru"])
-            lines = [(name(r, script) if r.random() < 0.8 else _word(r).capitalize(), "name", "")]
+            lines = [(name(r, script) if r.random() < 0.65 else _word(r).capitalize(), "name", "")]
             for _ in range(r.randint(0, 2)):
                 kind = r.choice(["email", "phone", "address"])
                 lines.append((email(r), kind, r.choice(["", "", "E-mail: "])) if kind == "email" else (phone(r), kind, r.choice(PHONE_LABELS)) if kind == "phone" else (address(r, script), kind, ""))
