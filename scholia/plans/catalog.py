@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from scholia.plans import datacare
+from scholia.plans import datacare, records_q
 
-MODULES = (datacare,)
+MODULES = (datacare, records_q)
 
 
 def queries() -> dict[str, Callable]:
