@@ -57,7 +57,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
     n, m = vectors.count(), queries.count()
     nb, mb = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
     v = vectors.where("embedding IS NOT NULL").select("doc_id", "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(nb)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(mb - 1))).alias("qb"))
-    q = queries.where("embedding IS NOT NULL").select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(mb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).cast("long").alias("vb"))
+    q = queries.where("embedding IS NOT NULL").select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(mb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))).alias("vb"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -204,7 +204,7 @@ def oracle_sql():
     from scholia.plans.records_q import _rules
 
     rating = r"try_cast(regexp_extract(rating, '^\s*(-?\d+(?:\.\d+)?)', 1) AS DOUBLE)"
-    labels = f("risk_tags")[:-1] + ", t AS (SELECT DISTINCT excerpt_id, risk_code, generator = 'rule' AS g FROM risk_tags1 WHERE excerpt_id IS NOT NULL AND risk_code IS NOT NULL AND generator IS NOT NULL), l AS (SELECT excerpt_id, risk_code, max(CAST(g AS INT)) g, max(CAST(NOT g AS INT)) p FROM t WHERE excerpt_id IN (SELECT excerpt_id FROM t WHERE g) GROUP BY 1, 2), c AS (SELECT risk_code, sum(g * p) tp, sum((1 - g) * p) fp, sum(g * (1 - p)) fn FROM l GROUP BY 1), c2 AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(tp), sum(fp), sum(fn) FROM c), s AS (SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1 FROM c2) "
+    labels = f("risk_tags")[:-1] + ", t AS (SELECT DISTINCT excerpt_id, risk_code, generator = 'rule' AS g FROM risk_tags1 WHERE excerpt_id IS NOT NULL AND risk_code IS NOT NULL AND generator IS NOT NULL), l AS (SELECT excerpt_id, risk_code, max(CAST(g AS INT)) g, max(CAST(NOT g AS INT)) p FROM t WHERE excerpt_id IN (SELECT excerpt_id FROM t WHERE g) GROUP BY 1, 2), c AS (SELECT risk_code, sum(g * p) tp, sum((1 - g) * p) fp, sum(g * (1 - p)) fn FROM l GROUP BY 1), c2 AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(tp), sum(fp), sum(fn) FROM c), s AS (SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) pr, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1 FROM c2) "
     codes = ", ".join(f"max(CAST(risk_code = 'R{i}' AS INT)) AS R{i}" for i in range(10))
     return {
         "d_corpus_statistics": f("works") + "SELECT field, count(*) AS n_works, min(pub_year) AS first_year, max(pub_year) AS last_year FROM (SELECT pub_year, unnest(list_distinct(fields)) AS field FROM works1) GROUP BY 1",
@@ -214,7 +214,7 @@ def oracle_sql():
         "d_tag_counts": f("risk_tags") + "SELECT risk_code, sum(CAST(polarity = 'negative' AS INT)) AS negative, sum(CAST(polarity = 'neutral' AS INT)) AS neutral, sum(CAST(polarity = 'positive' AS INT)) AS positive FROM risk_tags1 WHERE risk_code IS NOT NULL GROUP BY 1",
         "d_code_frequency": f("risk_tags", "excerpts", "reviews") + "SELECT risk_code, count(DISTINCT e.source_id) AS n_sources, count(DISTINCT r.work_id) AS n_works FROM risk_tags1 t JOIN excerpts1 e ON e.excerpt_id = t.excerpt_id AND source_kind = 'review' LEFT JOIN reviews1 r ON r.review_id = e.source_id WHERE polarity = 'negative' GROUP BY 1",
         "d_score_parts": f("risk_cards") + "SELECT risk_code, count(*) AS n_cards, sum(CAST(coalesce(abs(round(score.similarity * score.frequency * score.severity * score.confidence, 4) - score.total) > 0.00011, false) AS INT)) AS n_off, round(sum(score.similarity), 4) AS similarity, round(sum(score.total), 4) AS total FROM risk_cards1 GROUP BY 1",
-        "d_multilabel_scores": labels + "SELECT risk_code, tp, fp, fn, "precision", recall, f1 FROM s UNION ALL SELECT 'macro', NULL, NULL, NULL, round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6) FROM s WHERE risk_code <> 'micro' AND tp + fn > 0",
+        "d_multilabel_scores": labels + "SELECT risk_code, tp, fp, fn, pr AS precision, recall, f1 FROM s UNION ALL SELECT 'macro', NULL, NULL, NULL, round(avg(pr), 6), round(avg(recall), 6), round(avg(f1), 6) FROM s WHERE risk_code <> 'micro' AND tp + fn > 0",
         "d_majority": f("risk_tags")[:-1] + ", v AS (SELECT excerpt_id, polarity, count(*) votes FROM risk_tags1 WHERE excerpt_id IS NOT NULL AND polarity IS NOT NULL GROUP BY 1, 2), s AS (SELECT *, sum(votes) OVER (PARTITION BY excerpt_id) n FROM v) SELECT excerpt_id, polarity, votes, n FROM s WHERE votes >= floor(n / 2) + 1 AND n > 1",
         "d_kappa": f("risk_tags")[:-1] + ", o AS (SELECT excerpt_id, CASE WHEN generator = 'rule' THEN 'a' ELSE 'b' END who, min(polarity) l FROM risk_tags1 WHERE excerpt_id IS NOT NULL AND polarity IS NOT NULL GROUP BY 1, 2), p AS (SELECT x.l a, y.l b FROM o x JOIN o y USING (excerpt_id) WHERE x.who = 'a' AND y.who = 'b'), m AS (SELECT count(*) n, avg(CAST(a = b AS INT)) po FROM p), e AS (SELECT sum(na * nb) / (SELECT n * n FROM m) pe FROM (SELECT a, count(*) na FROM p GROUP BY 1) x JOIN (SELECT b, count(*) nb FROM p GROUP BY 1) y ON x.a = y.b) SELECT n, round(po, 6) AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM m, e",
         "d_average_rating": f("reviews") + f"SELECT work_id, round(avg({rating}), 6) AS mean_rating, count(*) AS n_ratings FROM reviews1 WHERE {rating} IS NOT NULL AND kind = 'official_review' GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scholia.functions import records as R
-from scholia.operators import sampling
+from scholia.operators import ranking, sampling
 from scholia.plans.common import first, first_sql
 from scholia.sources.tables import table
 
@@ -36,8 +36,8 @@ def e_rank_fusion(spark, sf):
     """Works ranked by reviews and by mean rating, fused by reciprocal ranks (a top 50)."""
     r = first(spark, sf, "reviews", "work_id", "rating").where("work_id IS NOT NULL")
     per = r.groupBy("work_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(R.rating_value(F.col("rating"))), 6).alias("m"))
-    a = per.select("work_id", F.rank().over(Window.orderBy(F.desc("n"))).alias("rank"))
-    b = per.where("m IS NOT NULL").select("work_id", F.rank().over(Window.orderBy(F.desc("m"))).alias("rank"))
+    a = ranking.global_rank(per, "n").select("work_id", "rank")
+    b = ranking.global_rank(per.where("m IS NOT NULL"), "m").select("work_id", "rank")
     both = a.unionByName(b).groupBy("work_id").agg(F.round(F.sum(1 / (60.0 + F.col("rank"))), 8).alias("fused"))
     return both.orderBy(F.desc("fused"), "work_id").limit(50)
 
@@ -172,7 +172,7 @@ def oracle_sql():
         "e_running_budget": lines + " SELECT plan_id, count(*) AS n_lines, max(used) AS n_chars FROM (SELECT plan_id, sum(length(line)) OVER (PARTITION BY plan_id ORDER BY line_no) AS used FROM lines) WHERE used <= 400 GROUP BY 1",
         "e_last_write": "SELECT revision_id, status, ingested_at FROM revision QUALIFY row_number() OVER (PARTITION BY revision_id ORDER BY ingested_at DESC, status DESC) = 1",
         "e_numbering_gaps": f("revision")[:-1] + ", l AS (SELECT plan_id, e.plan_line AS line FROM (SELECT plan_id, unnest(edits) AS e FROM revision1) WHERE e.plan_line > 0), t AS (SELECT plan_id, unnest(generate_series(1, max(line))) AS missing FROM l GROUP BY 1) SELECT plan_id, missing FROM t WHERE NOT EXISTS (FROM l WHERE l.plan_id = t.plan_id AND l.line = t.missing)",
-        "e_rule_cards": f("risk_tags", "excerpts", "reviews")[:-1] + ", j AS (SELECT risk_code, work_id, tag_id, coalesce(confidence, 0) AS c, row_number() OVER (PARTITION BY risk_code, work_id ORDER BY coalesce(confidence, 0) DESC, tag_id) AS turn FROM risk_tags1 t JOIN excerpts1 e ON e.excerpt_id = t.excerpt_id AND source_kind = 'review' JOIN reviews1 r ON r.review_id = e.source_id WHERE polarity = 'negative' AND work_id IS NOT NULL) SELECT risk_code, row_number() OVER (PARTITION BY risk_code ORDER BY turn, c DESC, work_id, tag_id) AS place, tag_id, work_id FROM j QUALIFY place <= 5",
+        "e_rule_cards": f("risk_tags", "excerpts", "reviews")[:-1] + ", j AS (SELECT risk_code, work_id, tag_id, coalesce(t.confidence, 0) AS c, row_number() OVER (PARTITION BY risk_code, work_id ORDER BY coalesce(t.confidence, 0) DESC, tag_id) AS turn FROM risk_tags1 t JOIN excerpts1 e ON e.excerpt_id = t.excerpt_id AND source_kind = 'review' JOIN reviews1 r ON r.review_id = e.source_id WHERE polarity = 'negative' AND work_id IS NOT NULL) SELECT risk_code, row_number() OVER (PARTITION BY risk_code ORDER BY turn, c DESC, work_id, tag_id) AS place, tag_id, work_id FROM j QUALIFY place <= 5",
         "e_daily_change": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, CAST(day AS VARCHAR) AS day, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS change, ntile(4) OVER (PARTITION BY event_type ORDER BY n, day) AS quartile FROM d",
         "f_set_operations": f("reviews", "decisions")[:-1] + ", r AS (SELECT DISTINCT work_id FROM reviews1 WHERE work_id IS NOT NULL), d AS (SELECT DISTINCT work_id FROM decisions1 WHERE work_id IS NOT NULL) SELECT 'either' AS what, count(*) AS n FROM (FROM r UNION FROM d) UNION ALL SELECT 'both', count(*) FROM (FROM r INTERSECT FROM d) UNION ALL SELECT 'reviews only', count(*) FROM (FROM r EXCEPT FROM d) UNION ALL SELECT 'decisions only', count(*) FROM (FROM d EXCEPT FROM r)",
         "f_equal_sets": f("risk_cards") + "SELECT array_to_string(list_sort(list_distinct(evidence)), '|') AS evidence_set, count(*) AS n_cards, min(card_id) AS first_card FROM risk_cards1 WHERE evidence IS NOT NULL AND len(list_distinct(evidence)) > 0 GROUP BY 1",
