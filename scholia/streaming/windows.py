@@ -52,20 +52,30 @@ LIMITED = "event_id bigint, user_id bigint, ts timestamp, admitted boolean"
 def limiter(events: DataFrame, limit: int, span: float) -> DataFrame:
     """Each event with whether a sliding-window limiter admits it (batch).
 
-    The state is the admitted times of a key within the span, so at most
-    ``limit`` numbers; a key's events come in order, one Arrow batch at a time.
+    A key's events pass in order of time through one task, batch by batch; what
+    is held is the key's admitted times within the span, at most ``limit``
+    numbers, so a key of any size fits. Events without a key or time are left out.
     """
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[float] = []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, held = None, []
         for pdf in batches:
-            ok, held = admitted_times(held, [t.timestamp() for t in pdf["ts"]], limit, span)
-            yield pdf.assign(admitted=ok)[["event_id", "user_id", "ts", "admitted"]]
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        return next(run((), iter([pdf])))
-
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(whole, LIMITED)
+            ok: list[bool] = []
+            ids = pdf["user_id"].to_numpy()
+            times = [t.timestamp() for t in pdf["ts"]]
+            at = 0
+            while at < len(ids):
+                stop = at
+                while stop < len(ids) and ids[stop] == ids[at]:
+                    stop += 1
+                if ids[at] != user:
+                    user, held = ids[at], []
+                part, held = admitted_times(held, times[at:stop], limit, span)
+                ok += part
+                at = stop
+            yield pdf.assign(admitted=ok)
+
+    src = events.where("user_id IS NOT NULL AND ts IS NOT NULL").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return src.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, LIMITED)
 
 
 def limiter_stream(events: DataFrame, limit: int, span: float) -> DataFrame:
