@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.session import spread
+
 # Abbreviations after which a sentence does not end.
 OPEN_ABBREVIATIONS = {
     "e.g", "i.e", "cf", "vs", "w.r.t", "approx", "ca", "sec", "secs", "sect", "fig", "figs", "eq", "eqs", "eqn", "tab", "tabs", "app", "thm", "alg", "def", "lem", "prop", "cor", "no", "nos", "pp", "p",
@@ -415,7 +417,7 @@ def sentence_units(df: DataFrame, id_column: str, text_column: str, source: str)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)).cast(pa.string()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], schema=out)
 
     src = df.select(F.col(id_column).cast("string").alias("record_id"), F.col(text_column).alias("text"))
-    found = src.mapInArrow(run, "record_id string, unit_start int, unit_end int")
+    found = spread(src).mapInArrow(run, "record_id string, unit_start int, unit_end int")
     return found.select(F.lit(source).alias("source_table"), "record_id", "unit_start", "unit_end").distinct()
 
 

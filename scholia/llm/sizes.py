@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.session import spread
+
 
 def default_tokenizer() -> str:
     """Where the installed public tokenizers keep their byte-level vocabulary; any file of ranks may be given instead."""
@@ -47,4 +49,4 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             counts = [0 if not t else len(encode(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), *b.columns[2:]], names=names)
 
-    return src.mapInArrow(run, ", ".join(f"{n} {'bigint' if n == 'n_tokens' else kinds[n]}" for n in names))
+    return spread(src).mapInArrow(run, ", ".join(f"{n} {'bigint' if n == 'n_tokens' else kinds[n]}" for n in names))
