@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a token is, and words that are none.
@@ -17,16 +17,32 @@ using use used based paper propose proposed proposes approach method methods new
 """.split()
 
 
+def _ascii_word(t: Column) -> Column:
+    """Whether a token is of ASCII letters alone: it starts with one and holds no digit."""
+    return t.between("a", "zz") & (F.translate(t, "0123456789", "") == t)
+
+
 def stem(t: Column) -> Column:
     """Plural endings of ASCII words are cut: ies to y, sses to ss, and a single s."""
-    word = t.rlike("^[a-z]+$") & (F.length(t) > 3)
-    cut = F.when(t.endswith("ies") & (F.length(t) > 4), F.concat(F.left(t, F.length(t) - 3), F.lit("y"))).when(t.endswith("sses"), F.left(t, F.length(t) - 2))
-    cut = cut.when(t.endswith("s") & ~t.endswith("ss") & ~t.endswith("us") & ~t.endswith("is"), F.left(t, F.length(t) - 1)).otherwise(t)
-    return F.when(word, cut).otherwise(t)
+    n = F.length(t)
+    cut = F.when(t.endswith("ies") & (n > 4), F.concat(F.left(t, n - 3), F.lit("y"))).when(t.endswith("sses"), F.left(t, n - 2))
+    cut = cut.when(t.endswith("s") & ~t.endswith("ss") & ~t.endswith("us") & ~t.endswith("is"), F.left(t, n - 1)).otherwise(t)
+    return F.when((n > 3) & t.endswith("s") & _ascii_word(t), cut).otherwise(t)
+
+
+def _is_token(t: Column) -> Column:
+    return ((F.length(t) > 1) | t.between("0", "9")) & ~t.isin(STOPWORDS)
+
+
+def _found(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
 
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens in order; single characters other than digits and stop words are left out; null gives none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
-    kept = F.filter(found, lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]$")) & ~t.isin(STOPWORDS))
-    return F.transform(kept, stem)
+    return F.transform(F.filter(_found(text), _is_token), stem)
+
+
+def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term): the tokens of a text as rows. Unlike ``tokens`` all that is done to one is compiled code."""
+    return df.select(key, F.explode(_found(F.col(text))).alias("_t")).where(_is_token(F.col("_t"))).select(key, stem(F.col("_t")).alias("term"))

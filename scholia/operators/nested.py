@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.session import cut
+from scholia.session import cut, spread
 
 NODES = "kind string, record_table string, root_id string, parent_id string, field string, ordinal bigint, object_id string, scalars map<string,string>"
 #: Levels of JSON text inside JSON text that are opened.
@@ -172,7 +172,7 @@ def shred(records: DataFrame, document: Callable[[str], dict | None], fields: se
                     s.add(("root", record_table, root_id, None, None, None, s.identity(doc), None))
             yield pd.DataFrame(s.rows, columns=["kind", "record_table", "root_id", "parent_id", "field", "ordinal", "object_id", "scalars"]).astype({"ordinal": "Int64"})
 
-    return records.select("record_table", "root_id", "doc").mapInPandas(run, NODES)
+    return spread(records.select("record_table", "root_id", "doc")).mapInPandas(run, NODES)
 
 
 def flat_tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

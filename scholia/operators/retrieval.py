@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scholia.functions.tokens import tokens
+from scholia.functions.tokens import token_rows
 
 K1, B = 1.5, 0.75
 
 
 def postings(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(doc_id, term, tf, doc_len): one row per distinct term of a document. Documents without terms have none."""
-    terms = docs.select(F.col(id_column).alias("doc_id"), tokens(F.col(text)).alias("_t"))
-    each = terms.select("doc_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
-    return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    each = token_rows(docs.withColumnRenamed(id_column, "doc_id"), "doc_id", text)
+    tf = each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id")))
 
 
 def bm25_scores(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: float) -> DataFrame:
@@ -28,7 +28,7 @@ def bm25_scores(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: floa
     the query's distinct terms, those of no document included. Only the postings
     of query terms are joined; the document frequency is counted on them.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    q = token_rows(queries, "query_id", "text").distinct()
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     held = q.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -86,7 +86,7 @@ def fused(ranked: DataFrame, key: str, doc: str, rank: str = "rank", weight: str
 def token_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, cosine) of term counts, for pairs that share a term."""
     def counted(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        return token_rows(df, key, "text").groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
     d, q = counted(docs, "doc_id"), counted(queries, "query_id")
     norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(name))

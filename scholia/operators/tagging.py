@@ -14,12 +14,6 @@ def _weight(c: Column, patterns: list[tuple[int, str]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c.rlike("(?i)" + p), w).otherwise(0) for w, p in patterns], F.lit(0))
 
 
-def code_score(c: Column, code: str) -> Column:
-    """Detecting weights less rejecting weights; 0 where nothing is detected."""
-    found = _weight(c, DETECT[code])
-    return F.when(found > 0, found - _weight(c, REJECT.get(code, []))).otherwise(0)
-
-
 def polarity(c: Column, section: Column) -> Column:
     """That of the section where it has one, else by counts of cues; unknown sections lean to negative."""
     by_section = None
@@ -37,7 +31,11 @@ def tag_excerpts(excerpts: DataFrame, least: int = 2) -> DataFrame:
     One row per code that reaches ``least``; null texts have none. Every
     expression stays in the JVM, and the scan is the only stage.
     """
-    scores = F.filter(F.array(*[F.struct(F.lit(code).alias("risk_code"), code_score(F.col("text"), code).cast("int").alias("score")) for code in DETECT]), lambda x: x["score"] >= least)
+    weights = F.array(*[
+        F.struct(F.lit(code).alias("risk_code"), _weight(F.col("text"), DETECT[code]).alias("found"), _weight(F.col("text"), REJECT.get(code, [])).alias("against"))
+        for code in DETECT
+    ])
+    scores = F.transform(F.filter(weights, lambda x: (x["found"] > 0) & (x["found"] - x["against"] >= least)), lambda x: F.struct(x["risk_code"].alias("risk_code"), (x["found"] - x["against"]).cast("int").alias("score")))
     hit = excerpts.withColumn("_hit", F.explode(scores)).withColumn("polarity", polarity(F.col("text"), F.coalesce("section", F.lit(""))))
     base = F.least(F.lit(0.9), 0.4 + 0.1 * F.col("_hit.score"))
     return hit.select("excerpt_id", "_hit.risk_code", "_hit.score", "polarity", F.round(F.when(F.col("polarity") == "negative", base).otherwise(base * 0.5), 3).alias("confidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scholia.functions import records as R
-from scholia.functions.tokens import STOPWORDS, TOKEN, tokens
+from scholia.functions.tokens import STOPWORDS, TOKEN, token_rows
 from scholia.plans.common import first, first_sql
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -100,7 +100,7 @@ def g_title_key(spark, sf):
 def g_tokens(spark, sf):
     """The commonest search tokens of titles and abstracts (a report of 200)."""
     w = first(spark, sf, "works", "title", "abstract")
-    t = w.select(F.explode(tokens(F.concat_ws("\n\n", "title", "abstract"))).alias("term"))
+    t = token_rows(w.select("work_id", F.concat_ws("\n\n", "title", "abstract").alias("text")), "work_id", "text")
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(200)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scholia.functions.cues import DETECT, NEGATIVE, POSITIVE, REJECT, SECTION_POLARITY
-from scholia.functions.tokens import tokens
+from scholia.functions.tokens import token_rows
 from scholia.operators import retrieval, tagging
 from scholia.plans.common import first, first_sql
 from scholia.plans.joins_q import c_section_carried
@@ -48,9 +49,9 @@ def i_bm25(spark, sf):
 
 def i_term_overlap(spark, sf):
     """Share of a query's distinct terms that a work has; the five best of each."""
-    d = _works(spark, sf).select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    q = _titles(spark, sf).select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
-    hit = q.select("query_id", F.size("t").alias("n"), F.explode("t").alias("term")).join(d, "term")
+    d = token_rows(_works(spark, sf), "doc_id", "text").distinct()
+    q = token_rows(_titles(spark, sf), "query_id", "text").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    hit = q.join(d, "term")
     s = hit.groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("score"))
     return retrieval.top_k(s, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
 
@@ -92,7 +93,7 @@ def i_coverage(spark, sf):
     posts = cut(retrieval.postings(_works(spark, sf), "doc_id", "text"))
     n = posts.select("doc_id").distinct().count()
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = _titles(spark, sf).select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    q = token_rows(_titles(spark, sf), "query_id", "text").distinct().join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     cov = F.sum(F.when(F.col("df") > 0, idf).otherwise(0.0)) / F.sum(idf)
     return q.groupBy("query_id").agg(F.round(cov, 6).alias("coverage"), F.round(1 - 0.4 * cov, 6).alias("alpha"))

@@ -29,3 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan ahead of costly work per row, over all cores at least.
+
+    A table of a few small files would keep most cores idle; its rows are dealt
+    out evenly. Larger tables, which have as many splits as there are cores, pass
+    as they are, without a shuffle. For plain scans only: other plans would be
+    run in part to find out their partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
