@@ -52,6 +52,9 @@ SECTIONS = {"summary", "strengths", "weaknesses", "questions", "limitations", "s
 # Words that a heading neither begins nor ends with.
 RUNNING = {"the", "a", "an", "as", "at", "to", "in", "on", "of", "for", "and", "or", "is", "are", "was", "it", "this", "that", "there", "why", "how", "what", "could", "my", "i", "all", "no", "well", "after", "compared", "moreover", "unfortunately", "st", "la", "le", "les", "el", "los", "der", "die", "das", "un", "une", "l'article", "pourquoi", "según", "insgesamt", "warum", "für", "к", "на", "код", "far", "can", "same", "time", "said", "more", "importantly", "authors", "paper"}
 
+# Words that begin a greeting.
+GREETING = re.compile(r"(?:dear|hello|hi|greetings|hallo|liebe[rs]?|sehr geehrte[rs]?|chers?|chères?|bonjour|estimad[oa]s?|hola|уважаем\w+|здравствуйте|안녕하세요|존경하는|尊敬的|您好|拝啓|السادة|प्रिय|เรียน)(?![^\W\d_])[^.?;\r\n]{0,60}[,!:，！：]", re.I)
+
 SOFT, STRONG = ".!?…", "。！？｡।॥؟۔"
 PAIRS = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", "｢": "｣"}
 OPENERS, CLOSERS = frozenset(PAIRS), frozenset(PAIRS.values())
@@ -222,6 +225,8 @@ def _ends(text: str, start: int, stop: int, closed: bool) -> int:
         return at if begins else -1
     if len(word) == 1 and word.isalpha() and not ("぀" <= word <= "힣"):
         return -1 if word.isupper() or lower else at
+    if word and "가" <= word[-1] <= "힣":
+        return at  # a verb's ending before a Latin word in lower case
     if word.isdigit():
         if lower and not _begins(text, at):
             return -1
@@ -239,7 +244,7 @@ def _ends(text: str, start: int, stop: int, closed: bool) -> int:
 
 def _line_kind(a: str, b: str, width: int, opening: bool) -> int:
     """The kind of a single line break between two lines; ``opening``: the first is the first of the text, which may be cut."""
-    if HEADING.fullmatch(a) or HEADING.fullmatch(b) or a.rstrip(":： ").casefold() in SECTIONS or b.rstrip(":： ").casefold() in SECTIONS:
+    if HEADING.fullmatch(a) or HEADING.fullmatch(b) or GREETING.fullmatch(a) or a.rstrip(":： ").casefold() in SECTIONS or b.rstrip(":： ").casefold() in SECTIONS:
         return HARD
     if a.rstrip(" ,.!،、，。！").casefold() in CLOSINGS or b.rstrip(" ,.!،、，。！").casefold() in CLOSINGS:
         return CLOSING

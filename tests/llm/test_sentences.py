@@ -21,6 +21,7 @@ CASES = [
     ["审稿人指出“数据有问题。结果不可信。”，作者没有回应。", "图3很好。"],
     ["著者は「問題ない。再現できる。」と述べている。", "なぜですか？"],
     ['심사평에서 "근거가 없다. 다시 하라."라고 지적했다.', "왜 그렇습니까?"],
+    ["재현 절차가 빠져 있다.", "speech separation 과제를 논의해 주십시오."],
     ["यह लेख विधि प्रस्तुत करता है।", "डॉ. शर्मा सहमत हैं।"],
     ["The authors claim robustness, i.e. that F1 stays above 0.110 ± 0.03, but Eq. (3) disagrees.", "St. dev. is missing."],
 ]
@@ -38,6 +39,7 @@ def test_layouts():
     wrapped = "The description of the evaluation protocol is limited in scope\nand should be rewritten. It is unclear whether the release\nplan uses the same seeds."
     assert split(wrapped) == ["The description of the evaluation protocol is limited in scope\nand should be rewritten.", "It is unclear whether the release\nplan uses the same seeds."]
     assert split("not.At the same time, no.") == ["not.", "At the same time, no."]
+    assert split("Dear authors,\nThe paper is fine.") == ["Dear authors,", "The paper is fine."]
     assert split("ผลดี งานเขียนอ่านง่าย") == ["ผลดี", "งานเขียนอ่านง่าย"]
 
 
