@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from scholia.plans import aggregates_q, datacare, joins_q, records_q, search_q, streams_q, windows_q
+from scholia.plans import aggregates_q, datacare, joins_q, more_q, records_q, search_q, streams_q, windows_q
 
-MODULES = (datacare, records_q, joins_q, aggregates_q, windows_q, search_q, streams_q)
+MODULES = (datacare, records_q, joins_q, aggregates_q, windows_q, search_q, streams_q, more_q)
 
 
 def queries() -> dict[str, Callable]:
