@@ -138,12 +138,15 @@ class Canon:
                 continue
             used = sum(1 for t in tokens if any(near[t].get(w, float(t == w)) > 0 for w in words))
             extra = sum(1 for t in tokens if t not in FILLER and not t.isdigit() and any(len(w) > 2 or w == "no" for w in near[t]) and not any(near[t].get(w, 0.0) > 0 for w in words))
+            strange = sum(1 for t in tokens if t not in FILLER and not t.isdigit() and not near[t])
             mean = score / len(words)
-            value = mean - 0.25 * extra
+            value = mean - 0.25 * extra - 0.2 * strange
             best = max(best, (round(value, 6), used, outcome), key=lambda x: (x[0], x[1]))
-        whole = "".join(t for t in tokens if t not in ("final",)).removeprefix("decision")
-        for name, outcome in self.joined.items():
-            best = max(best, (round(alike(whole, name), 6), len(tokens), outcome), key=lambda x: (x[0], x[1]))
+        told = text.removeprefix("final ").removeprefix("decision").lstrip()
+        whole = told.replace(" ", "")
+        for names, value in ((self.joined, whole), (self.spelled, told)):
+            for name, outcome in names.items():
+                best = max(best, (round(alike(value, name), 6), len(tokens), outcome), key=lambda x: (x[0], x[1]))
         return best[2] if best[0] >= least else UNKNOWN
 
     def decide(self, raw: str | None, least: float = 0.6) -> str:
@@ -154,14 +157,15 @@ class Canon:
         if exact:
             return exact
         found = self.mentions(text)
-        covered = [t for t in self._outside(text, found) if t not in FILLER and not t.isdigit() and any(alike(t, w) for w in self.words if len(w) > 2)]
-        if found and not covered:
-            outcomes = {o for _, _, o in found if o != UNKNOWN}
-            if len(outcomes) == 1:
-                return outcomes.pop()
-            if not outcomes:
-                return UNKNOWN
-        return self.similar(text, least)
+        outcomes = {o for _, _, o in found if o != UNKNOWN}
+        agreed = outcomes.pop() if len(outcomes) == 1 else UNKNOWN
+        rest = [t for t in self._outside(text, found) if t not in FILLER and not t.isdigit()]
+        if found and not rest and (agreed != UNKNOWN or not outcomes):
+            return agreed
+        # Something is left that may be a misspelt part of a longer name.
+        close = self.similar(text, least)
+        misspelt = any(len(w) > 2 and alike(t, w) for t in rest for w in self.words)
+        return close if close != UNKNOWN or misspelt else agreed
 
     @staticmethod
     def _outside(text: str, found: list[tuple[int, int, str]]) -> list[str]:
