@@ -11,7 +11,7 @@ from scholia.functions.cues import DETECT, NEGATIVE, POSITIVE, REJECT, SECTION_P
 
 
 def _weight(c: Column, patterns: list[tuple[int, str]]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(c.rlike("(?i)" + p), w).otherwise(0) for w, p in patterns], F.lit(0))
+    return reduce(lambda a, b: a + b, [F.when(c.rlike("(?iU)" + p), w).otherwise(0) for w, p in patterns], F.lit(0))
 
 
 def polarity(c: Column, section: Column) -> Column:
@@ -20,7 +20,7 @@ def polarity(c: Column, section: Column) -> Column:
     for name, p in SECTION_POLARITY.items():
         if p != "neutral":
             by_section = F.when(section == name, p) if by_section is None else by_section.when(section == name, p)
-    neg, pos = F.regexp_count(c, F.lit("(?i)" + NEGATIVE)), F.regexp_count(c, F.lit("(?i)" + POSITIVE))
+    neg, pos = F.regexp_count(c, F.lit("(?iU)" + NEGATIVE)), F.regexp_count(c, F.lit("(?iU)" + POSITIVE))
     cues = F.when(neg > pos, "negative").when(pos > neg, "positive").when(section.isin(*SECTION_POLARITY), "neutral").otherwise("negative")
     return F.coalesce(by_section, cues)
 

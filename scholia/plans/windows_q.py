@@ -139,8 +139,9 @@ def f_set_operations(spark, sf):
 def f_equal_sets(spark, sf):
     """Cards whose sets of evidence are equal but for order and repeats."""
     c = first(spark, sf, "risk_cards", "evidence").where("evidence IS NOT NULL")
-    key = F.array_join(F.array_sort(F.array_distinct(F.filter("evidence", lambda x: x.isNotNull()))), "|")
-    return c.groupBy(key.alias("evidence_set")).agg(F.count(F.lit(1)).alias("n_cards"), F.min("card_id").alias("first_card")).where("evidence_set <> ''")
+    ids = F.array_sort(F.array_distinct(F.filter("evidence", lambda x: x.isNotNull())))
+    some = c.select("card_id", ids.alias("ids")).where("size(ids) > 0")
+    return some.groupBy(F.array_join("ids", "|").alias("evidence_set")).agg(F.count(F.lit(1)).alias("n_cards"), F.min("card_id").alias("first_card"))
 
 
 Q = (e_top_reviews, e_review_orders, e_best_tag, e_rank_fusion, e_round_robin, e_allocation, e_hash_sample, e_cumulative_coverage, e_sessions, e_first_seen_numbers, e_running_budget, e_last_write, e_numbering_gaps, e_rule_cards, e_daily_change, f_set_operations, f_equal_sets)
