@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scholia.session import cut, spread
 
-NODES = "kind string, record_table string, root_id string, parent_id string, field string, ordinal bigint, object_id string, scalars map<string,string>"
+NODES = "kind string, record_table string, root_id string, parent_id binary, field string, ordinal bigint, object_id binary, scalars map<string,string>"
 #: Levels of JSON text inside JSON text that are opened.
 TEXT_LEVELS = 4
 
@@ -113,11 +113,15 @@ def _text(value: Any) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
+def _digest(kind: str, parts: list[bytes]) -> bytes:
+    return blake2b(kind.encode() + b"\0".join(parts), digest_size=16).digest()
+
+
 class Shredder:
     """Merkle identities and rows of one batch; equal rows of a batch are given once."""
 
     def __init__(self, fields: frozenset[str] | None) -> None:
-        self.fields, self.rows, self.seen, self.scalar_ids = fields, [], set(), {}
+        self.fields, self.rows, self.seen, self.scalars = fields, [], set(), {}
 
     def add(self, row: tuple) -> None:
         key = row[:-1]
@@ -125,31 +129,43 @@ class Shredder:
             self.seen.add(key)
             self.rows.append(row)
 
-    def identity(self, value: Any) -> str:
-        """The identity of a value; rows for all that it holds are added on the way."""
-        if isinstance(value, dict):
-            held = {k: self.identity(v) for k, v in sorted(value.items())}
-            own = blake2b("\0".join(["o", *(f"{k}\1{h}" for k, h in held.items())]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-            scalars = {k: _text(v) for k, v in value.items() if v is not None and not isinstance(v, dict | list) and self.wanted(k)}
-            self.add(("object", None, None, None, None, None, own, scalars))
-            for k, v in value.items():
-                if self.wanted(k) and isinstance(v, dict | list):
-                    for at, x in enumerate(v if isinstance(v, list) else [v], 1):
-                        if x is not None:
-                            self.add(("edge", None, None, own, k, at, self.identity(x) if isinstance(v, list) else held[k], None))
-            return own
-        if isinstance(value, list):
-            return blake2b("\0".join(["l", *map(self.identity, value)]).encode(), digest_size=16).hexdigest()
+    def scalar(self, value: Any) -> bytes:
         key = (type(value).__name__, value)
-        if key not in self.scalar_ids:
-            self.scalar_ids[key] = blake2b(f"s{key[0]}\0{_text(value)}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        own = self.scalar_ids[key]
-        if value is not None:
-            self.add(("object", None, None, None, None, None, own, {"": _text(value)}))
+        own = self.scalars.get(key)
+        if own is None:
+            own = self.scalars[key] = _digest("s", [key[0].encode(), _text(value).encode("utf-8", "surrogatepass")])
         return own
 
-    def wanted(self, field: str) -> bool:
-        return self.fields is None or field in self.fields
+    def identity(self, value: Any) -> bytes:
+        """The identity of a value, each part of which is visited once; rows for what it holds are added on the way."""
+        if isinstance(value, list):
+            return _digest("l", [self.identity(x) for x in value])
+        if not isinstance(value, dict):
+            return self.scalar(value)
+        parts, members, scalars = [], [], {}
+        for k, v in sorted(value.items()):
+            wanted = self.fields is None or k in self.fields
+            if isinstance(v, list):
+                ids = [self.identity(x) for x in v]
+                own = _digest("l", ids)
+                if wanted:
+                    members += [(k, at, i, x) for at, (i, x) in enumerate(zip(ids, v), 1) if x is not None]
+            else:
+                own = self.identity(v)
+                if wanted and isinstance(v, dict):
+                    members.append((k, 1, own, v))
+                elif wanted and v is not None:
+                    scalars[k] = _text(v)
+            name = k.encode("utf-8", "surrogatepass")
+            parts += [b"%d:%s" % (len(name), name), own]
+        own = _digest("o", parts)
+        if scalars or self.fields is None:
+            self.add(("object", None, None, None, None, None, own, scalars))
+        for k, at, i, x in members:
+            self.add(("edge", None, None, own, k, at, i, None))
+            if not isinstance(x, dict | list):
+                self.add(("object", None, None, None, None, None, i, {"": _text(x)}))
+        return own
 
 
 def shred(records: DataFrame, document: Callable[[str], dict | None], fields: set[str] | None = None) -> DataFrame:
