@@ -106,12 +106,11 @@ def d_kappa(spark, sf):
     pairs = one.where("who = 'a'").select("excerpt_id", F.col("label").alias("a")).join(one.where("who = 'b'").select("excerpt_id", F.col("label").alias("b")), "excerpt_id")
     # One row per pair of labels: what is grouped after that is tiny.
     cells = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    all_ = cells.select("n", "a", "b", F.sum("n").over(Window.partitionBy()).alias("total"), F.sum("n").over(Window.partitionBy("a")).alias("na"))
-    nb = cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    na = cells.groupBy("a").agg(F.sum("n").alias("na"))
-    chance = na.join(nb, na.a == nb.b).agg(F.sum(F.col("na") * F.col("nb")).alias("s"))
-    seen = all_.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"), F.max("total").alias("n"))
-    both = seen.join(F.broadcast(chance))  # one row each
+    zero = F.lit(0).cast("bigint")
+    seen = cells.select("n", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("same"), zero.alias("s"))
+    sides = cells.select(F.col("a").alias("l"), F.col("n").alias("na"), zero.alias("nb")).unionByName(cells.select(F.col("b").alias("l"), zero.alias("na"), F.col("n").alias("nb")))
+    chance = sides.groupBy("l").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).select(zero.alias("n"), zero.alias("same"), (F.col("na") * F.col("nb")).alias("s"))
+    both = seen.unionByName(chance).agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("s").alias("s"))
     po, pe = F.col("same") / F.col("n"), F.col("s") / (F.col("n") * F.col("n"))
     return both.select("n", F.round(po, 6).alias("agreement"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("kappa"))
 

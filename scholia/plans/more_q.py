@@ -66,9 +66,11 @@ def d_field_lift(spark, sf):
     d = first(spark, sf, "decisions", "work_id", "outcome_raw").where("outcome_raw IS NOT NULL AND work_id IS NOT NULL")
     one = d.withColumn("o", R.decision_outcome(F.col("outcome_raw"))).where("o <> 'unknown'").groupBy("work_id").agg(F.max(F.col("o").isin("reject", "desk_reject").cast("int")).alias("bad"))
     w = first(spark, sf, "works", "fields").join(one, "work_id")
-    base = w.agg(F.round(F.avg("bad"), 4).alias("base"))
-    per = w.select("bad", F.explode(F.array_distinct("fields")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n_works"), F.round(F.avg("bad"), 4).alias("share"))
-    return per.join(F.broadcast(base)).select("field", "n_works", "share", F.round(F.col("share") / F.nullif("base", F.lit(0)), 3).alias("lift"))  # base is one row
+    # Every work counts under each of its fields and under one that stands for all.
+    each = w.select("bad", F.explode(F.array_union(F.coalesce("fields", F.array()), F.array(F.lit("\0all")))).alias("field"))
+    per = each.groupBy("field").agg(F.count(F.lit(1)).alias("n_works"), F.round(F.avg("bad"), 4).alias("share"))
+    base = F.max(F.when(F.col("field") == "\0all", F.col("share"))).over(Window.partitionBy())  # over the few fields
+    return per.withColumn("base", base).where(F.col("field") != "\0all").select("field", "n_works", "share", F.round(F.col("share") / F.nullif("base", F.lit(0)), 3).alias("lift"))
 
 
 def d_hits_at_three(spark, sf):

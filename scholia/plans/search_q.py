@@ -29,8 +29,8 @@ def _titles(spark, sf):
 def i_index_statistics(spark, sf):
     """Of the index of works: documents, distinct terms, postings and mean length."""
     posts = retrieval.postings(_works(spark, sf), "doc_id", "text")
-    lens = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n"))
-    return lens.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("avg_len")).join(F.broadcast(posts.agg(F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))))
+    n = F.count_distinct("doc_id")
+    return posts.agg(n.alias("n_docs"), F.round(F.sum("tf") / n, 6).alias("avg_len"), F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))
 
 
 def _bm25(spark, sf):
