@@ -207,8 +207,10 @@ def canonical(raw: Column, names: list[tuple[str, str]]) -> Column:
 def mapped_decisions(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(decision_id, outcome, outcome_raw) of each decision with a raw outcome that is not blank.
 
-    Of repeated deliveries the first counts. ``outcomes`` is a list of fixed,
-    small size and read by the driver.
+    Of repeated deliveries the first counts; rows without an id count as one
+    key. A raw outcome that names several entries, or none, is decided by
+    similarity, else unknown. ``outcomes`` is a list of fixed, small size and
+    read by the driver.
     """
     names = [(r[0], n) for r in outcomes.select("outcome", "label", "label_ko").collect() for n in r[1:] if n]
     first = first_arrival(decisions, ["decision_id"], "ingested_at", ["outcome_raw"])
