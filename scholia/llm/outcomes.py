@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.operators.dedupe import first_arrival
+from scholia.session import spread
 
 UNKNOWN = "unknown"
 
@@ -213,6 +214,7 @@ def mapped_decisions(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     read by the driver.
     """
     names = [(r[0], n) for r in outcomes.select("outcome", "label", "label_ko").collect() for n in r[1:] if n]
-    first = first_arrival(decisions, ["decision_id"], "ingested_at", ["outcome_raw"])
-    told = first.where(F.col("outcome_raw").rlike(r"(?U)\S"))
-    return told.select("decision_id", canonical(F.col("outcome_raw"), names).alias("outcome"), "outcome_raw")
+    # Mapped where it is read, on all cores, and then reduced to first arrivals.
+    told = spread(decisions.select("decision_id", "ingested_at", "outcome_raw")).withColumn("outcome", canonical(F.col("outcome_raw"), names))
+    first = first_arrival(told, ["decision_id"], "ingested_at", ["outcome_raw", "outcome"])
+    return first.where(F.col("outcome_raw").rlike(r"(?U)\S")).select("decision_id", "outcome", "outcome_raw")
