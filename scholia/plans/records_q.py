@@ -149,6 +149,28 @@ def h_axis_queries(spark, sf):
     return body.groupBy("plan_id", "axis").agg(text.alias("query"), F.count(F.lit(1)).alias("n_lines")).where("length(query) >= 8").select("plan_id", "axis", R.text_sha256(F.col("query")).alias("query_sha256"), "n_lines")
 
 
+def plan_queries(spark, sf):
+    """(query_id, axis, text): what each plan asks of the index.
+
+    First its full text, under the axis ``full``; then its title with the
+    sections on its topic, and the sections of each further axis, if they have 8
+    characters at least. Sections of no axis are in the full text only.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    joined = lambda c, field: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x[field]), "\n")
+    w = Window.partitionBy("plan_id").orderBy("line_no")
+    lines = _headed(spark, sf).withColumn("at", F.last(F.when(F.col("level") > 0, F.col("line_no")), ignorenulls=True).over(w)).where("at IS NOT NULL")
+    body = strip(joined(F.when(F.col("level") == 0, F.struct("line_no", "line")), "line"))
+    parts = lines.groupBy("plan_id", "at").agg(F.max("level").alias("level"), F.max("heading").alias("head"), body.alias("body"))
+    axis = F.coalesce(*(F.when(F.lower("head").rlike(pattern), name) for name, pattern in AXES))
+    parts = parts.withColumn("axis", axis).withColumn("title", (F.col("level") == 1) & (F.col("at") == F.min("at").over(Window.partitionBy("plan_id"))))
+    titles = parts.where("title").select("plan_id", F.lit("topic").alias("axis"), F.lit(0).alias("at"), F.col("head").alias("text"))
+    each = titles.unionByName(parts.select("plan_id", "axis", "at", F.col("body").alias("text"))).where("axis IS NOT NULL AND text <> ''")
+    axes = each.groupBy(F.col("plan_id").alias("query_id"), "axis").agg(strip(joined(F.struct("at", "text"), "text")).alias("text")).where("length(text) >= 8")
+    full = first(spark, sf, "assemble_live_smoke3", "plan_text").select(F.col("plan_id").alias("query_id"), F.lit("full").alias("axis"), strip(F.col("plan_text")).alias("text")).where("text <> ''")
+    return full.unionByName(axes)
+
+
 def h_sentence_spans(spark, sf):
     """Plan lines cut after end marks (the simple splitter), counted per plan."""
     lines = h_plan_lines(spark, sf).where("line <> ''")

@@ -10,7 +10,7 @@ from scholia.functions.tokens import token_rows
 from scholia.operators import retrieval, tagging
 from scholia.plans.common import first, first_sql
 from scholia.plans.joins_q import c_section_carried
-from scholia.plans.records_q import SECTION, SQL_TOKENS
+from scholia.plans.records_q import SECTION, SQL_TOKENS, plan_queries
 from scholia.session import cut
 from scholia.sources.tables import table
 
@@ -20,10 +20,14 @@ def _works(spark, sf):
     return w.select(F.col("work_id").alias("doc_id"), F.concat_ws("\n\n", "title", "abstract").alias("text"))
 
 
-def _titles(spark, sf):
-    """Plans ask by their first line."""
-    p = first(spark, sf, "assemble_live_smoke3", "plan_text")
-    return p.select(F.col("plan_id").alias("query_id"), F.regexp_extract("plan_text", r"^([^\r\n]*)", 1).alias("text"))
+def _asked(spark, sf):
+    """What plans ask: full text and axes, each a query of its own whose query_id holds the plan's id and the axis."""
+    return plan_queries(spark, sf).select(F.struct("query_id", "axis").alias("query_id"), "text")
+
+
+def _best(scores):
+    """A work's score for a plan: its best over the plan's queries."""
+    return scores.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
 
 
 def i_index_statistics(spark, sf):
@@ -38,27 +42,27 @@ def _bm25(spark, sf):
     posts = cut(retrieval.postings(docs, "doc_id", "text"))
     # Two numbers of the corpus come to the driver.
     stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg")).first()
-    return retrieval.bm25_scores(posts, _titles(spark, sf), stats.docs, stats.avg or 1.0)
+    return retrieval.bm25_scores(posts, _asked(spark, sf), stats.docs, stats.avg or 1.0)
 
 
 def i_bm25(spark, sf):
-    """The ten works that match each plan's title best."""
-    s = _bm25(spark, sf).withColumn("score", F.round("score", 9))
+    """The ten works that match each plan best, by its full text or one of its axes."""
+    s = _best(_bm25(spark, sf).withColumn("score", F.round("score", 9)))
     return retrieval.top_k(s, "query_id", "score", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def i_term_overlap(spark, sf):
-    """Share of a query's distinct terms that a work has; the five best of each."""
+    """Share of a query's distinct terms that a work has, the best over a plan's queries; the five best of each plan."""
     d = token_rows(_works(spark, sf), "doc_id", "text").distinct()
-    q = token_rows(_titles(spark, sf), "query_id", "text").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    q = token_rows(_asked(spark, sf), "query_id", "text").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     hit = q.join(d, "term")
     s = hit.groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("score"))
-    return retrieval.top_k(s, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
+    return retrieval.top_k(_best(s), "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
 
 
 def i_cosine(spark, sf):
-    """Cosine of term counts, the five best works of each plan's title."""
-    s = retrieval.token_cosine(_works(spark, sf), _titles(spark, sf)).withColumn("score", F.round("cosine", 9))
+    """Cosine of term counts, the best over a plan's queries; the five best works of each plan."""
+    s = _best(retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9)))
     return retrieval.top_k(s, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -80,11 +84,13 @@ def i_dense_labels(spark, sf):
 
 
 def i_hybrid(spark, sf):
-    """BM25 and token cosine of plans' titles fused by reciprocal ranks; works below a score of 0.05 do not count; the ten best."""
+    """BM25 and token cosine of plans' queries fused by reciprocal ranks; works below a score of 0.05 do not count; the ten best."""
     a = retrieval.top_k(_bm25(spark, sf).withColumn("score", F.round("score", 9)).where("score >= 0.05"), "query_id", "score", "doc_id", 100)
-    c = retrieval.token_cosine(_works(spark, sf), _titles(spark, sf)).withColumn("score", F.round("cosine", 9)).where("score >= 0.05")
+    c = retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9)).where("score >= 0.05")
     b = retrieval.top_k(c, "query_id", "score", "doc_id", 100)
-    both = retrieval.fused(a.select("query_id", "doc_id", "rank").unionByName(b.select("query_id", "doc_id", "rank")), "query_id", "doc_id").withColumn("fused", F.round("fused", 9))
+    lists = a.select("query_id", "doc_id", "rank").unionByName(b.select("query_id", "doc_id", "rank"))
+    weight = F.when(F.col("query_id.axis") == "evaluation", 0.5).otherwise(1.0)
+    both = retrieval.fused(lists.withColumn("weight", weight).withColumn("query_id", F.col("query_id.query_id")), "query_id", "doc_id", weight="weight").withColumn("fused", F.round("fused", 9))
     return retrieval.top_k(both, "query_id", "fused", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("fused", 8).alias("fused"))
 
 
@@ -93,10 +99,10 @@ def i_coverage(spark, sf):
     posts = cut(retrieval.postings(_works(spark, sf), "doc_id", "text"))
     n = posts.select("doc_id").distinct().count()
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = token_rows(_titles(spark, sf), "query_id", "text").distinct().join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    q = token_rows(_asked(spark, sf), "query_id", "text").distinct().join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     cov = F.sum(F.when(F.col("df") > 0, idf).otherwise(0.0)) / F.sum(idf)
-    return q.groupBy("query_id").agg(F.round(cov, 6).alias("coverage"), F.round(1 - 0.4 * cov, 6).alias("alpha"))
+    return q.groupBy("query_id").agg(F.round(cov, 6).alias("coverage"), F.round(1 - 0.4 * cov, 6).alias("alpha")).select("query_id.*", "coverage", "alpha")
 
 
 def h_rule_tags(spark, sf):
