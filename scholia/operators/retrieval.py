@@ -45,6 +45,12 @@ def top_k(scores: DataFrame, key: str, by: str, tie: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def ranked(scores: DataFrame, key: str, by: str, tie: str) -> DataFrame:
+    """(key, tie, rank): all rows of a positive score, ranked per key, ties to the smaller ``tie``."""
+    w = Window.partitionBy(key).orderBy(F.desc(by), F.asc(tie))
+    return scores.where(F.col(by) > 0).select(key, tie, F.row_number().over(w).alias("rank"))
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
     """(query_id, doc_id, score): exact inner products, the k best per query.
 

@@ -84,11 +84,10 @@ def i_dense_labels(spark, sf):
 
 
 def i_hybrid(spark, sf):
-    """BM25 and token cosine of plans' queries fused by reciprocal ranks; works below a score of 0.05 do not count; the ten best."""
-    a = retrieval.top_k(_bm25(spark, sf).withColumn("score", F.round("score", 9)).where("score >= 0.05"), "query_id", "score", "doc_id", 100)
-    c = retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9)).where("score >= 0.05")
-    b = retrieval.top_k(c, "query_id", "score", "doc_id", 100)
-    lists = a.select("query_id", "doc_id", "rank").unionByName(b.select("query_id", "doc_id", "rank"))
+    """BM25 and token cosine of plans' queries fused by reciprocal ranks over all works with a positive score; the ten best. Lexical only: works have no vectors."""
+    a = _bm25(spark, sf).withColumn("score", F.round("score", 9))
+    c = retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9))
+    lists = retrieval.ranked(a, "query_id", "score", "doc_id").unionByName(retrieval.ranked(c, "query_id", "score", "doc_id"))
     weight = F.when(F.col("query_id.axis") == "evaluation", 0.5).otherwise(1.0)
     both = retrieval.fused(lists.withColumn("weight", weight).withColumn("query_id", F.col("query_id.query_id")), "query_id", "doc_id", weight="weight").withColumn("fused", F.round("fused", 9))
     return retrieval.top_k(both, "query_id", "fused", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("fused", 8).alias("fused"))

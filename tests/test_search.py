@@ -1,3 +1,4 @@
+from scholia.operators import retrieval
 from scholia.plans import search_q
 from scholia.plans.records_q import AXES, plan_queries
 
@@ -17,3 +18,21 @@ def test_a_work_that_only_the_body_names_is_found(spark, tmp_path):
     for q in (search_q.i_bm25, search_q.i_term_overlap, search_q.i_cosine, search_q.i_hybrid):
         assert [(r.query_id, r["rank"], r.doc_id) for r in q(spark, str(tmp_path)).collect()] == [("p", 1, "w1")], q.__name__
     assert {r.axis for r in search_q.i_coverage(spark, str(tmp_path)).collect()} <= {"full", *(a for a, _ in AXES)}
+
+
+def test_hybrid_sums_over_all_works(spark, tmp_path):
+    # Works of one term each rank by their length; 130 of them stand in both lists.
+    words = " ".join(f"w{i}x" for i in range(200))
+    spark.createDataFrame([("p", "needle " + words, "2026-01-01")], "plan_id string, plan_text string, ingested_at string").write.parquet(f"{tmp_path}/assemble_live_smoke3.parquet")
+    works = [(f"d{i:03}", "needle " + "filler " * i, None, "2026-01-01") for i in range(130)]
+    spark.createDataFrame(works, "work_id string, title string, abstract string, ingested_at string").write.parquet(f"{tmp_path}/works.parquet")
+    # All scores are below 0.05 for most works, yet each list counts.
+    got = [(r["rank"], r.doc_id, r.fused) for r in search_q.i_hybrid(spark, str(tmp_path)).collect()]
+    assert [x[:2] for x in sorted(got)] == [(i + 1, f"d{i:03}") for i in range(10)]
+    assert all(abs(f - 2 / (60 + rank)) < 2e-8 for rank, _, f in got)
+
+
+def test_ranked_goes_past_a_hundred(spark):
+    rows = [("q", i, 1.0 / (1 + i)) for i in range(150)] + [("q", 999, 0.0)]
+    got = retrieval.ranked(spark.createDataFrame(rows, "query_id string, doc_id int, score double"), "query_id", "score", "doc_id")
+    assert {(r.doc_id, r["rank"]) for r in got.collect()} == {(i, i + 1) for i in range(150)}
