@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from scholia.functions import records as R
 from scholia.operators import containment
 from scholia.plans.common import first, first_sql
-from scholia.plans.search_q import _dense, i_bm25
+from scholia.plans.search_q import _neighbours, i_bm25
 from scholia.sources.files import csv_safe
 from scholia.sources.tables import table
 
@@ -74,9 +74,9 @@ def d_field_lift(spark, sf):
 
 
 def d_hits_at_three(spark, sf):
-    """Of the three nearest vectors of each query: precision over three places, and whether any hits."""
+    """Of the three nearest vectors of each query other than itself: precision over three places, and whether any hits."""
     lab = table(spark, sf, "embeddings").select("vec_id", "label")
-    near = _dense(spark, sf, 10).where("rank <= 3 AND query_id <> doc_id").join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    near = _neighbours(spark, sf, 3).join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     hit = (F.col("label") == F.col("own")).cast("int")
     per = near.groupBy("query_id").agg(F.sum(hit).alias("hits"))
     return per.select("query_id", F.round(F.col("hits") / 3, 6).alias("precision_at_3"), (F.col("hits") > 0).alias("hit_at_3"))

@@ -71,15 +71,21 @@ def _dense(spark, sf, k):
     return retrieval.dense_top_k(v, v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), k)
 
 
+def _neighbours(spark, sf, k):
+    """The k nearest vectors of each query other than itself."""
+    near = _dense(spark, sf, k + 1).where("query_id <> doc_id").drop("rank")
+    return retrieval.top_k(near, "query_id", "score", "doc_id", k)
+
+
 def i_dense(spark, sf):
     """The ten nearest vectors by inner product of every vector whose id is divisible by 20."""
     return _dense(spark, sf, 10).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 def i_dense_labels(spark, sf):
-    """How often the nearest ten share the label of their query."""
+    """How often the nearest ten, the query itself left out, share the label of their query."""
     lab = table(spark, sf, "embeddings").select("vec_id", "label")
-    near = _dense(spark, sf, 10).join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    near = _neighbours(spark, sf, 10).join(lab.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     return near.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("own")).cast("int")).alias("n_same"))
 
 

@@ -1,5 +1,7 @@
+import math
+
 from scholia.operators import retrieval
-from scholia.plans import search_q
+from scholia.plans import more_q, search_q
 from scholia.plans.records_q import AXES, plan_queries
 
 
@@ -36,3 +38,11 @@ def test_ranked_goes_past_a_hundred(spark):
     rows = [("q", i, 1.0 / (1 + i)) for i in range(150)] + [("q", 999, 0.0)]
     got = retrieval.ranked(spark.createDataFrame(rows, "query_id string, doc_id int, score double"), "query_id", "score", "doc_id")
     assert {(r.doc_id, r["rank"]) for r in got.collect()} == {(i, i + 1) for i in range(150)}
+
+
+def test_a_query_is_not_its_own_neighbour(spark, tmp_path):
+    # Vector 0 is the one query; the three nearest others have its label, the rest do not.
+    rows = [(i, [math.cos(i / 20), math.sin(i / 20)], "a" if i < 4 else "b") for i in range(15)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in more_q.d_hits_at_three(spark, str(tmp_path)).select("query_id", "precision_at_3", "hit_at_3").collect()] == [(0, 1.0, True)]
+    assert [tuple(r) for r in search_q.i_dense_labels(spark, str(tmp_path)).select("own", "n", "n_same").collect()] == [("a", 10, 3)]
