@@ -19,6 +19,13 @@ REFERENCE = r"(Figs?|Tab|Table|Sec|Eq|App|Alg|Thm|No)\.? \(?([0-9]+(?:\.[0-9]+)?
 QUANTITY = r"([0-9]+(?:\.[0-9]+)?) ?(%|percent|points|epochs|GPU hours|μm|Å)"
 QUOTE = "[\"“]([^\"“”]{3,200})[\"”]"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+#: A number, its thousands grouped by commas or not.
+GROUPED = r"(?:(?<![0-9])(?<![0-9]\.)[1-9][0-9]{0,2}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?"
+GROUPED_QUANTITY = f"({GROUPED}) ?(%|percent|points|epochs|GPU hours|μm|Å)"
+
+
+def _plain(number):
+    return F.regexp_replace(number, ",", "")
 
 
 def h_references(spark, sf):
@@ -31,9 +38,9 @@ def h_references(spark, sf):
 def h_quantities(spark, sf):
     """Quantities with their unit in reviews: how many, least and greatest."""
     r = first(spark, sf, "reviews", "text")
-    each = r.select(F.explode(F.regexp_extract_all("text", F.lit(f"({QUANTITY})"), 1)).alias("q"))
-    v = F.regexp_extract("q", QUANTITY, 1).cast("double")
-    return each.groupBy(F.regexp_extract("q", QUANTITY, 2).alias("unit")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"))
+    each = r.select(F.explode(F.regexp_extract_all("text", F.lit(f"({GROUPED_QUANTITY})"), 1)).alias("q"))
+    v = _plain(F.regexp_extract("q", GROUPED_QUANTITY, 1)).cast("double")
+    return each.groupBy(F.regexp_extract("q", GROUPED_QUANTITY, 2).alias("unit")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"))
 
 
 def h_quotes(spark, sf):
@@ -46,10 +53,10 @@ def h_quotes(spark, sf):
 def b_unsupported_numbers(spark, sf):
     """Numbers in the edits that their excerpts do not hold, per revision."""
     r = first(spark, sf, "revision", "edits").select("revision_id", F.posexplode("edits").alias("at", "e")).select("revision_id", "at", F.col("e.proposed_text").alias("text"), F.col("e.rationale.excerpt_ids").alias("ids"))
-    said = r.select("revision_id", "at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({NUMBER})"), 1))).alias("number"))
+    said = r.select("revision_id", "at", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({GROUPED})"), 1), _plain))).alias("number"))
     ids = r.select("revision_id", "at", F.explode("ids").alias("excerpt_id"))
     e = first(spark, sf, "excerpts", "text")
-    held = ids.join(e, "excerpt_id").select("revision_id", "at", F.explode(F.regexp_extract_all("text", F.lit(f"({NUMBER})"), 1)).alias("number")).distinct()
+    held = ids.join(e, "excerpt_id").select("revision_id", "at", F.explode(F.transform(F.regexp_extract_all("text", F.lit(f"({GROUPED})"), 1), _plain)).alias("number")).distinct()
     return said.join(held, ["revision_id", "at", "number"], "left_anti").groupBy("revision_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
 
 

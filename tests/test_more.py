@@ -1,6 +1,7 @@
 import random
 
 from scholia.operators import containment
+from scholia.plans import more_q
 
 
 def test_containment_against_brute_force(spark):
@@ -11,3 +12,14 @@ def test_containment_against_brute_force(spark):
     got = {(x.needle_id, x.hay_id) for x in containment.contained(spark.createDataFrame(needles, "needle_id int, text string"), spark.createDataFrame(hay, "hay_id int, text string")).collect()}
     sq = lambda t: " ".join((t or "").split())
     assert got == {(i, j) for i, n in needles for j, h in hay if len(sq(n)) >= 20 and f" {sq(n)} " in f" {sq(h)} "}
+
+
+def test_grouped_thousands(spark, tmp_path):
+    said = "from 84,414 points to 1,234,567.5 points, 99954 points; 2,3 points; 12345,678 epochs; 0.5,200 epochs"
+    spark.createDataFrame([("r", said, "2026-01-01")], "review_id string, text string, ingested_at string").write.parquet(f"{tmp_path}/reviews.parquet")
+    assert {tuple(r) for r in more_q.h_quantities(spark, str(tmp_path)).select("unit", "n", "least", "greatest").collect()} == {("points", 4, 3.0, 1234567.5), ("epochs", 2, 200.0, 678.0)}
+    spark.createDataFrame([("e", "18 of 179, and 5,000", "2026-01-01")], "excerpt_id string, text string, ingested_at string").write.parquet(f"{tmp_path}/excerpts.parquet")
+    edits = "array<struct<proposed_text:string,rationale:struct<excerpt_ids:array<string>>>>"
+    rows = [("v1", [("18,179 and 5000", (["e"],))], "2026-01-01"), ("v2", [("18,179,5", (["e"],))], "2026-01-01")]
+    spark.createDataFrame(rows, f"revision_id string, edits {edits}, ingested_at string").write.parquet(f"{tmp_path}/revision.parquet")
+    assert {tuple(r) for r in more_q.b_unsupported_numbers(spark, str(tmp_path)).select("revision_id", "n_unsupported").collect()} == {("v1", 1), ("v2", 2)}
