@@ -155,7 +155,7 @@ def d_moving_average(spark, sf):
     return e.groupBy("user_id").agg(kept.alias("k")).select("user_id", F.round(F.aggregate(F.transform("k", lambda x: x["value"]), F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * 0.7 + x * 0.3)), 6).alias("ema"))
 
 
-def d_bootstrap(spark, sf, rounds: int = 500, seed: int = 20260930):
+def d_bootstrap(spark, sf, rounds: int = 2000, seed: int = 20260930):
     """Interval of the mean confidence by code over resamples of its distribution.
 
     The values are counted first (they have two to four places), so a group is

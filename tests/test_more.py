@@ -1,7 +1,8 @@
+import inspect
 import random
 
 from scholia.operators import containment
-from scholia.plans import more_q
+from scholia.plans import aggregates_q, more_q
 
 
 def test_containment_against_brute_force(spark):
@@ -23,3 +24,9 @@ def test_grouped_thousands(spark, tmp_path):
     rows = [("v1", [("18,179 and 5000", (["e"],))], "2026-01-01"), ("v2", [("18,179,5", (["e"],))], "2026-01-01")]
     spark.createDataFrame(rows, f"revision_id string, edits {edits}, ingested_at string").write.parquet(f"{tmp_path}/revision.parquet")
     assert {tuple(r) for r in more_q.b_unsupported_numbers(spark, str(tmp_path)).select("revision_id", "n_unsupported").collect()} == {("v1", 1), ("v2", 2)}
+
+
+def test_bootstrap_resamples_as_often_as_the_reference(spark, sf):
+    assert inspect.signature(aggregates_q.d_bootstrap).parameters["rounds"].default == 2000
+    got, want = (q.toPandas().sort_values("risk_code", ignore_index=True) for q in (aggregates_q.d_bootstrap(spark, sf), aggregates_q.d_bootstrap(spark, sf, rounds=2000)))
+    assert got.equals(want) and (got["low"] <= got["mean"]).all() and (got["mean"] <= got["high"]).all()
