@@ -5,11 +5,16 @@ first; the rest is filled by Efraimidis-Spirakis sampling: each document draws
 an exponential key scaled by its quality weight, and the smallest keys whose
 sizes add up to the budget are taken. Prefix sums are made in two steps, over
 buckets of keys and then within the one bucket in which the budget ends, so no
-source is ever sorted as a whole.
+source is ever sorted as a whole. What is left there is offered to the
+documents of the later buckets that are small enough for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +24,6 @@ from scholia.session import cut
 
 #: Buckets of keys of a source.
 BUCKETS = 64
-#: Times that what is left of a budget is offered to the documents, in order of their keys, that still fit in it.
-ROUNDS = 4
 
 
 def quality(n_chars: Column, lang: Column) -> Column:
@@ -61,6 +64,26 @@ def budgets(targets: list[dict], supply: dict[str, int], total: int | None = Non
 _PLAN = T.StructType([T.StructField("mix_id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("max_repeats", "budget", "epochs", "rest", "supply"))])
 
 
+def _fitting(docs: DataFrame) -> DataFrame:
+    """Of each target's documents, in order of their keys, every one that fits in what those before it left of ``gap``."""
+    kept = ["mix_id", "source", "doc_id", "n_tokens"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, left = None, 0
+        for batch in batches:
+            takes = []
+            for mix, source, size, gap in zip(batch["mix_id"], batch["source"], batch["n_tokens"], batch["gap"], strict=True):
+                if (mix, source) != target:
+                    target, left = (mix, source), gap
+                takes.append(size <= left)
+                left -= size * takes[-1]
+            yield batch.loc[takes, kept]
+
+    inputs = docs.select(*kept, "key", "gap")
+    ordered = inputs.repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", "key", "doc_id")
+    return ordered.mapInPandas(run, inputs.select(*kept).schema)
+
+
 def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of all mixes.
 
@@ -70,7 +93,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     actual_share, n_documents, used_tokens, budget_tokens, supply_tokens and met
     (the source can give its budget). Documents of no
     source or of one that no mix names are not used; a null or non-positive
-    weight counts as the least, 1e-3. In the bucket where a budget
+    weight counts as the least, 1e-3. From the bucket where a budget
     ends, documents too large for what is left of it are passed over.
     """
     wanted = [r.asDict() for r in targets.where("source IS NOT NULL AND mix_id IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("mix_id", "source", "target_share", "max_repeats").distinct().collect()]
@@ -88,20 +111,16 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     sums = placed.groupBy("mix_id", "source", "bucket").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest"))
     before = F.sum("held").over(Window.partitionBy("mix_id", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     # BUCKETS rows per target at most.
-    steps = sums.withColumn("before", F.coalesce(before, F.lit(0))).select("mix_id", "source", "bucket", "held", "before")
-    placed = placed.join(F.broadcast(steps), ["mix_id", "source", "bucket"])
+    steps = sums.withColumn("before", F.coalesce(before, F.lit(0))).select("mix_id", "source", "bucket", "held", "before", "rest")
+    placed = placed.join(F.broadcast(steps.drop("rest")), ["mix_id", "source", "bucket"])
     inside = placed.where(F.col("before") + F.col("held") <= F.col("rest"))
-    edge = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
-    group = Window.partitionBy("mix_id", "source", "bucket")
-    so_far = group.orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("gap", F.col("rest") - F.col("before")).withColumn("taken", F.lit(False))
-    for _ in range(ROUNDS):
-        fits = ~F.col("taken") & (F.col("n_tokens") <= F.col("gap"))
-        edge = edge.withColumn("_run", F.sum(F.when(fits, F.col("n_tokens")).otherwise(0)).over(so_far)).withColumn("_new", fits & (F.col("_run") <= F.col("gap")))
-        edge = edge.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("_new"), F.col("n_tokens")).otherwise(0)).over(group)).withColumn("taken", F.col("taken") | F.col("_new"))
-    some = inside.select("mix_id", "source", "doc_id", "n_tokens", F.lit(1).alias("times")).unionByName(
-        edge.where("taken").select("mix_id", "source", "doc_id", "n_tokens", F.lit(1).alias("times"))
-    )
+    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest"))
+    edge = cut(_fitting(placed.where(ends).withColumn("gap", F.col("rest") - F.col("before"))))
+    filled = edge.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("filled"))
+    left = steps.where(ends).join(filled, ["mix_id", "source"], "left").select("mix_id", "source", F.col("bucket").alias("edge"), (F.col("rest") - F.col("before") - F.coalesce("filled", F.lit(0))).alias("gap"))
+    # One row per target again.
+    later = _fitting(placed.join(F.broadcast(left), ["mix_id", "source"]).where((F.col("bucket") > F.col("edge")) & (F.col("n_tokens") <= F.col("gap"))))
+    some = reduce(DataFrame.unionByName, (d.select("mix_id", "source", "doc_id", "n_tokens", F.lit(1).alias("times")) for d in (inside, edge, later)))
     epochs = each.where("epochs > 0").select("mix_id", "source", "doc_id", "n_tokens", F.col("epochs").cast("int").alias("times"))
     selection = epochs.unionByName(some).groupBy("mix_id", "source", "doc_id", "n_tokens").agg(F.sum("times").cast("int").alias("times"))
     return selection, _report(selection, plan)

@@ -36,3 +36,13 @@ def test_heavier_documents_are_drawn_more_often(spark):
     picked, _ = mixing.mixed(docs, spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], TARGETS))
     odd = picked.where("source = 'a' AND doc_id % 2 = 1").count()
     assert odd > 650
+
+
+def test_nothing_that_is_left_fits_in_what_is_left(spark):
+    sizes = {i: 1 + (i * 37) % 101 for i in range(90)} | {90: 2000, 91: 3000}
+    docs = spark.createDataFrame([(i, "a", n, 1.0) for i, n in sizes.items()], DOCS)
+    for seed in range(3):
+        picked, _ = mixing.mixed(docs, spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS), total=3333, seed=seed)
+        taken = {r.doc_id for r in picked.collect()}
+        gap = 3333 - sum(sizes[i] for i in taken)
+        assert 0 <= gap < min(n for i, n in sizes.items() if i not in taken)
