@@ -26,15 +26,13 @@ from pyspark.sql import functions as F
 from scholia.session import cut, spread
 
 NODES = "kind string, record_table string, root_id string, parent_id binary, field string, ordinal bigint, object_id binary, scalars map<string,string>"
-#: Levels of JSON text inside JSON text that are opened.
-TEXT_LEVELS = 4
 
 
-def decoded(value: Any, levels: int = TEXT_LEVELS) -> Any:
+def decoded(value: Any) -> Any:
     """A value that was delivered as JSON text, as its structure; other text stays."""
-    while levels and isinstance(value, str) and value.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"'):
+    while isinstance(value, str) and value.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"'):
         try:
-            value, levels = json.loads(value.lstrip("﻿")), levels - 1
+            value = json.loads(value.lstrip("﻿"))
         except (ValueError, RecursionError):
             break
     return value
@@ -69,21 +67,24 @@ def _is_card(value: dict) -> bool:
     return any(k in value for k in ("card_id", "edits", "precedents"))
 
 
-def _cards(value: Any, depth: int = 0) -> list:
-    """The card revisions of a payload, whatever it is wrapped in."""
-    value = decoded(value)
-    if isinstance(value, list):
-        return [c for x in value for c in _cards(x, depth)]
-    if not isinstance(value, dict) or depth > 8:
-        return []
-    if "revisions" in value:
-        held = decoded(value["revisions"])
-        if isinstance(held, dict) and not _is_card(held):
-            return [_card(v, k) for k, v in held.items()]
-        return [_card(x) for x in members(held)]
-    if _is_card(value):
-        return [_card(value)]
-    return [c for v in value.values() if isinstance(decoded(v), dict | list) for c in _cards(v, depth + 1)]
+def _cards(value: Any) -> list:
+    """The card revisions of a payload, whatever it is wrapped in, in their order."""
+    out, stack = [], [value]
+    while stack:
+        value = decoded(stack.pop())
+        if isinstance(value, list):
+            stack.extend(reversed(value))
+        elif isinstance(value, dict) and "revisions" in value:
+            held = decoded(value["revisions"])
+            if isinstance(held, dict) and not _is_card(held):
+                out.extend(_card(x, k) for k, v in held.items() for x in members(v))
+            else:
+                out.extend(_card(x) for x in members(held))
+        elif isinstance(value, dict) and _is_card(value):
+            out.append(_card(value))
+        elif isinstance(value, dict):
+            stack.extend(x for v in reversed(value.values()) if isinstance(x := decoded(v), dict | list))
+    return out
 
 
 def revision_document(text: str) -> dict | None:

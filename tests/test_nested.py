@@ -70,3 +70,15 @@ def test_clashing_names(spark, name):
     raw = spark.createDataFrame([("x", None, 1)], f"raw_id string, payload string, {name} int")
     crd = spark.createDataFrame([("k", None, 1)], f"card_id string, why_applies struct<plan_lines:array<int>>, {name} int")
     assert N.found(rev, raw, crd).count() == 1
+
+
+def test_any_depth_and_lists_of_revisions():
+    card = {"card_id": "c", "edits": [], "precedents": {"items": []}}
+    deep, text = {"revisions": [card]}, json.dumps({"revisions": [card]})
+    for _ in range(30):
+        deep = {"payload": deep}
+    for _ in range(7):
+        text = json.dumps(text)
+    assert N.revision_document(json.dumps(deep)) == N.revision_document(text) == {"revisions": [card]}
+    by_id = {"revisions": {"a": [{"edits": []}, {"edits": [{"x": 1}]}], "b": {"edits": []}}}
+    assert [(c["card_id"], len(c["edits"])) for c in N.revision_document(json.dumps(by_id))["revisions"]] == [("a", 0), ("a", 1), ("b", 0)]
