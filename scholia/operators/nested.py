@@ -1,39 +1,95 @@
 """Deeply nested records as related flat tables.
 
-Every object, list member and whole record gets a Merkle identity: the hash of
-its canonical form, computed bottom-up from the hashes of its members. Objects
-that are equal are stored once (``objects``); each place where one occurs is a
-row of ``bridge`` (parent, field, ordinal, child), and each record a row of
-``roots``. A path of field names is followed by joins over the bridge, which
-gives back every occurrence with its ordinals.
-
-Records reach the shredder as JSON text. What several writers wrote in several
-shapes is first brought to one (``revision_document``).
+Every object, inner list, list member and whole record gets a Merkle identity:
+the hash of its canonical form, computed bottom-up from the hashes of its
+members. Objects that are equal are stored once (``objects``); each place where
+one occurs is a row of ``bridge`` (parent, field, ordinal, child), and each
+record a row of ``roots``. A path of field names is followed by joins over the
+bridge, which gives back every occurrence with its ordinals; ``rebuilt`` puts a
+record together again. What cannot be read is a row of ``faults``.
+
+Records reach the shredder as JSON text of any depth: parsing, bringing the
+shapes of several writers to one (``revision_document``) and hashing all keep
+their own stack.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.session import cut, spread
 
-NODES = "kind string, record_table string, root_id string, parent_id binary, field string, ordinal bigint, object_id binary, scalars map<string,string>"
+NODES = "kind string, record_table string, root_id string, parent_id binary, field string, ordinal bigint, object_id binary, types string, scalars map<string,string>"
+
+_MARK = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)|\Z)')
+
+
+def _stacked(text: str) -> Any:
+    """JSON text of any depth as its value, without recursion; ValueError where it is not complete JSON."""
+    held: list = []  # open containers; of an object also the key that waits for its value
+    keys: list = []
+    value, at, want = None, 0, "value"
+    while True:
+        m = _MARK.match(text, at)
+        if not m:
+            raise ValueError("no JSON")
+        at, (sign, string, atom) = m.end(), m.groups()
+        if want in ("value", "first value") and (sign in ("{", "[") if sign else string or atom):
+            if sign:
+                held.append({} if sign == "{" else [])
+                keys.append(None)
+                want = "first key" if sign == "{" else "first value"
+                continue
+            value = json.loads(string or atom)
+        elif want in ("key", "first key") and string:
+            keys[-1], want = json.loads(string), "colon"
+            continue
+        elif want == "colon" and sign == ":":
+            want = "value"
+            continue
+        elif want == "next" and sign == ",":
+            want = "key" if isinstance(held[-1], dict) else "value"
+            continue
+        elif sign and held and (sign == "}" and isinstance(held[-1], dict) and want in ("next", "first key") or sign == "]" and isinstance(held[-1], list) and want in ("next", "first value")):
+            value = held.pop()
+            keys.pop()
+        elif want == "end" and not (sign or string or atom):
+            return value
+        else:
+            raise ValueError("no JSON")
+        if not held:
+            want = "end"
+        elif isinstance(held[-1], dict):
+            held[-1][keys[-1]], want = value, "next"
+        else:
+            held[-1].append(value)
+            want = "next"
+
+
+def parsed(text: str) -> Any:
+    """The value of JSON text, a byte order mark before it left out; ValueError where it is not complete JSON."""
+    text = text.lstrip("\ufeff")
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _stacked(text)
 
 
 def decoded(value: Any) -> Any:
-    """A value that was delivered as JSON text, as its structure; other text stays."""
-    while isinstance(value, str) and value.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"'):
+    """A value that was delivered as JSON text, as its structure, however often it was wrapped; other text stays."""
+    while isinstance(value, str) and value.lstrip("\ufeff \t\r\n")[:1] in ("{", "[", '"'):
         try:
-            value = json.loads(value.lstrip("﻿"))
-        except (ValueError, RecursionError):
+            value = parsed(value)
+        except ValueError:
             break
     return value
 
@@ -87,119 +143,208 @@ def _cards(value: Any) -> list:
     return out
 
 
-def revision_document(text: str) -> dict | None:
-    """A payload in one shape: {"revisions": [card revision, ...]}.
+def revision_document(text: str) -> dict:
+    """A payload in one shape, {"revisions": [card revision, ...]}, beside the payload as it was sent.
 
     Understood are: a byte order mark, JSON text inside JSON text, a list of
     payloads, any wrapping objects, card revisions as a list, as a map by card id
     or alone, and lists, lone objects or JSON text for edits, precedents and
-    their items. Text that is not complete JSON, or is nested beyond what the
-    parser can follow, gives None.
+    their items. What both have in common is stored once, as all equal objects.
+    Text that is not complete JSON raises ValueError.
     """
-    try:
-        value = json.loads(text.lstrip("﻿"))
-    except (ValueError, RecursionError):
-        return None
-    return {"revisions": [c for c in _cards(value) if c is not None]}
+    payload = parsed(text)
+    return {"revisions": [c for c in _cards(payload) if c is not None], "payload": payload}
 
 
-def plain_document(text: str) -> dict | None:
-    try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
+def plain_document(text: str) -> Any:
+    return parsed(text)
 
 
 def _text(value: Any) -> str:
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return value if isinstance(value, str) else json.dumps(value)
 
 
-def _digest(kind: str, parts: list[bytes]) -> bytes:
-    return blake2b(kind.encode() + b"\0".join(parts), digest_size=16).digest()
+_TYPES = {str: "s", int: "n", float: "n", bool: "b", type(None): "0"}
 
 
-class Shredder:
-    """Merkle identities and rows of one batch; equal rows of a batch are given once."""
+def _digest(kind: bytes, parts: list[bytes]) -> bytes:
+    return blake2b(kind + b"\0".join(parts), digest_size=16).digest()
+
 
-    def __init__(self, fields: frozenset[str] | None) -> None:
-        self.fields, self.rows, self.seen, self.scalars = fields, [], set(), {}
+class Shredder:
+    """Merkle identities and rows of one batch; what was seen in the batch gives its rows once."""
 
-    def add(self, row: tuple) -> None:
-        key = row[:-1]
-        if key not in self.seen:
-            self.seen.add(key)
-            self.rows.append(row)
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.seen: set[bytes] = set()
+        self.scalars: dict[tuple, bytes] = {}
 
     def scalar(self, value: Any) -> bytes:
-        key = (type(value).__name__, value)
+        key = (type(value), value)
         own = self.scalars.get(key)
         if own is None:
-            own = self.scalars[key] = _digest("s", [key[0].encode(), _text(value).encode("utf-8", "surrogatepass")])
+            own = self.scalars[key] = _digest(_TYPES[key[0]].encode(), [_text(value).encode("utf-8", "surrogatepass")])
         return own
 
+    def stored(self, own: bytes, types: str, scalars: list) -> bool:
+        """Whether an identity is new; its row is then added."""
+        if own in self.seen:
+            return False
+        self.seen.add(own)
+        self.rows.append(("object", None, None, None, None, None, own, types, scalars))
+        return True
+
     def identity(self, value: Any) -> bytes:
-        """The identity of a value, each part of which is visited once; rows for what it holds are added on the way."""
-        if isinstance(value, list):
-            return _digest("l", [self.identity(x) for x in value])
-        if not isinstance(value, dict):
+        """The identity of a value; rows for all that it holds are added on the way.
+
+        Containers are listed parents first and hashed in the opposite order, so
+        all members of one have their identity before it.
+        """
+        if not isinstance(value, dict | list):
             return self.scalar(value)
-        parts, members, scalars = [], [], {}
-        for k, v in sorted(value.items()):
-            wanted = self.fields is None or k in self.fields
-            if isinstance(v, list):
-                ids = [self.identity(x) for x in v]
-                own = _digest("l", ids)
-                if wanted:
-                    members += [(k, at, i, x) for at, (i, x) in enumerate(zip(ids, v), 1) if x is not None]
+        order = [value]
+        for v in order:
+            order += [x for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, dict | list)]
+        done: dict[int, bytes] = {}
+        for v in reversed(order):
+            if id(v) not in done:
+                done[id(v)] = self._object(v, done) if isinstance(v, dict) else self._list(v, done)
+        return done[id(value)]
+
+    def _ids(self, items: list, done: dict[int, bytes]) -> list[bytes]:
+        return [done[id(x)] if isinstance(x, dict | list) else self.scalar(x) for x in items]
+
+    def _edges(self, parent: bytes, field: str, items: list, ids: list[bytes]) -> None:
+        for at, (own, x) in enumerate(zip(ids, items), 1):
+            self.rows.append(("edge", None, None, parent, field, at, own, None, None))
+            if not isinstance(x, dict | list):
+                self.stored(own, "=" + _TYPES[type(x)], [("", None if x is None else _text(x))])
+
+    def _list(self, items: list, done: dict[int, bytes]) -> bytes:
+        return _digest(b"l", self._ids(items, done))
+
+    def _object(self, value: dict, done: dict[int, bytes]) -> bytes:
+        parts, types, scalars = [], [], []
+        for k in sorted(value):
+            v = value[k]
+            if isinstance(v, dict | list):
+                own = done[id(v)]
+                if not isinstance(v, dict) and not v:
+                    types.append("l")
+                    scalars.append((k, None))
             else:
-                own = self.identity(v)
-                if wanted and isinstance(v, dict):
-                    members.append((k, 1, own, v))
-                elif wanted and v is not None:
-                    scalars[k] = _text(v)
+                own = self.scalar(v)
+                types.append(_TYPES[type(v)])
+                scalars.append((k, None if v is None else _text(v)))
             name = k.encode("utf-8", "surrogatepass")
             parts += [b"%d:%s" % (len(name), name), own]
-        own = _digest("o", parts)
-        if scalars or self.fields is None:
-            self.add(("object", None, None, None, None, None, own, scalars))
-        for k, at, i, x in members:
-            self.add(("edge", None, None, own, k, at, i, None))
-            if not isinstance(x, dict | list):
-                self.add(("object", None, None, None, None, None, i, {"": _text(x)}))
+        own = _digest(b"o", parts)
+        if self.stored(own, "".join(types), scalars):
+            for k, v in value.items():
+                if isinstance(v, dict):
+                    self.rows.append(("edge", None, None, own, k, 0, done[id(v)], None, None))
+                elif isinstance(v, list):
+                    self._edges(own, k, v, self._ids(v, done))
+                    self._inner(v, done)
         return own
 
+    def _inner(self, items: list, done: dict[int, bytes]) -> None:
+        """Lists inside a list are objects of their own, with their members under the empty field."""
+        todo = [x for x in items if isinstance(x, list)]
+        for x in todo:
+            if self.stored(done[id(x)], "L", []):
+                self._edges(done[id(x)], "", x, self._ids(x, done))
+                todo += [y for y in x if isinstance(y, list)]
+
+
+_ARROW = pa.schema([("kind", pa.string()), ("record_table", pa.string()), ("root_id", pa.string()), ("parent_id", pa.binary()), ("field", pa.string()), ("ordinal", pa.int64()), ("object_id", pa.binary()), ("types", pa.string()), ("scalars", pa.map_(pa.string(), pa.string()))])
+
 
-def shred(records: DataFrame, document: Callable[[str], dict | None], fields: set[str] | None = None) -> DataFrame:
+def _safe(text: str | None) -> str | None:
+    """Text that can be stored: a lone surrogate, which UTF-8 has no form for, as its escape."""
+    if text is None or text.isascii():
+        return text
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
+def shred(records: DataFrame, document: Callable[[str], Any]) -> DataFrame:
     """``records`` (record_table, root_id, doc: JSON text) as rows of ``NODES``.
 
     kind is root (object_id is the record's identity), edge (parent_id, field,
-    ordinal from 1 with null members counted, object_id the child) or object (its
-    own scalar fields as text; a list member that is no object has one under the
-    empty name). ``fields`` limits which fields give rows; identities always
-    cover all of them. A null or unreadable doc gives no rows. Rows are distinct
-    within a batch only: ``flat_tables`` makes them so overall.
+    ordinal from 1 in a list with null members counted, 0 for a lone object,
+    object_id the child), object (its own scalar fields as text in ``scalars``
+    and one sign each in ``types``: s text, n number, b truth value, 0 null, l an
+    empty list; L alone: an inner list; a list member that is no object has its
+    value under the empty name and = before its sign) or fault (a doc that is null or not complete JSON). All
+    fields of all records give rows. Rows are distinct within a batch only:
+    ``flat_tables`` makes them so overall.
     """
-    keep = None if fields is None else frozenset(fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = Shredder(keep)
-            for record_table, root_id, text in zip(pdf["record_table"], pdf["root_id"], pdf["doc"]):
-                if text is not None and (doc := document(text)) is not None:
-                    s.add(("root", record_table, root_id, None, None, None, s.identity(doc), None))
-            yield pd.DataFrame(s.rows, columns=["kind", "record_table", "root_id", "parent_id", "field", "ordinal", "object_id", "scalars"]).astype({"ordinal": "Int64"})
 
-    return spread(records.select("record_table", "root_id", "doc")).mapInPandas(run, NODES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Shredder()
+            for record_table, root_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    if text is None:
+                        raise ValueError("no text")
+                    doc = document(text)
+                except ValueError:
+                    s.rows.append(("fault", record_table, root_id, None, None, None, None, None, None))
+                    continue
+                s.rows.append(("root", record_table, root_id, None, None, None, s.identity(doc), None, None))
+            columns = list(zip(*s.rows)) or [()] * len(_ARROW)
+            columns[4] = [_safe(f) for f in columns[4]]
+            columns[8] = [None if m is None else [(_safe(k), _safe(v)) for k, v in m] for m in columns[8]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
+
+    return spread(records.select("record_table", "root_id", "doc")).mapInArrow(run, NODES)
 
 
 def flat_tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """roots, bridge and objects out of shredded rows, each row once."""
     roots = nodes.where("kind = 'root'").select("record_table", "root_id", "object_id").distinct()
     bridge = nodes.where("kind = 'edge'").select("parent_id", "field", "ordinal", F.col("object_id").alias("child_id")).distinct()
-    objects = nodes.where("kind = 'object'").groupBy("object_id").agg(F.first("scalars").alias("scalars"))
+    objects = nodes.where("kind = 'object'").groupBy("object_id").agg(F.first("types").alias("types"), F.first("scalars").alias("scalars"))
     return roots, bridge, objects
 
 
+def faults(nodes: DataFrame) -> DataFrame:
+    """(record_table, root_id) of the records that could not be read."""
+    return nodes.where("kind = 'fault'").select("record_table", "root_id").distinct()
+
+
+def rebuilt(object_id: bytes, edges: dict[bytes, list], objects: dict[bytes, tuple]) -> Any:
+    """A record out of its rows, for exports and tests of single records: ``edges`` are (field, ordinal, child) by parent, ``objects`` (types, scalars) by identity."""
+    done: dict[bytes, Any] = {}
+    todo = [object_id]
+    while todo:
+        own = todo[-1]
+        if own in done:
+            todo.pop()
+            continue
+        mine = sorted(edges.get(own, ()))
+        missing = [c for _, _, c in mine if c not in done]
+        if missing:
+            todo += missing
+            continue
+        types, scalars = objects[own]
+        read = {} if types[:1] == "=" else {k: [] if t == "l" else None if t == "0" else v if t == "s" else json.loads(v) for t, (k, v) in zip(types, sorted(scalars.items()))}
+        if types == "L":
+            done[own] = [done[c] for _, _, c in mine]
+        elif types[:1] == "=":
+            (text,) = scalars.values()
+            done[own] = None if types == "=0" else text if types == "=s" else json.loads(text)
+        else:
+            for field, ordinal, child in mine:
+                if ordinal:
+                    read.setdefault(field, []).append(done[child])
+                else:
+                    read[field] = done[child]
+            done[own] = read
+        todo.pop()
+    return done[object_id]
+
+
 def follow(at: DataFrame, bridge: DataFrame, field: str, ordinal: str | None = None) -> DataFrame:
     """``at`` (with object_id) one step down: a row for each member of ``field``, its place in ``ordinal``."""
     step = bridge.where(F.col("field") == field).select(F.col("parent_id").alias("object_id"), F.col("child_id").alias("_child"), *([F.col("ordinal").alias(ordinal)] if ordinal else []))
@@ -212,10 +357,6 @@ def attribute(at: DataFrame, objects: DataFrame, name: str, to: str) -> DataFram
     return at.join(own, "object_id", "left")
 
 
-#: The fields that p3_found follows.
-FOLLOWED = {"revisions", "card_id", "edits", "edit_id", "precedents", "items", "work_id", "why_applies", "plan_lines"}
-
-
 def revision_records(revision: DataFrame, raw: DataFrame) -> DataFrame:
     """Stored revisions and raw payloads as JSON text of one kind."""
     whole = F.to_json(F.struct(*[c for c in revision.columns if c != "ingested_at"]), {"ignoreNullFields": "false"})
@@ -228,14 +369,18 @@ def card_records(cards: DataFrame) -> DataFrame:
     return cards.select(F.lit("risk_cards").alias("record_table"), F.col("card_id").alias("root_id"), whole.alias("doc"))
 
 
+def record_nodes(revision: DataFrame, raw: DataFrame, cards: DataFrame) -> DataFrame:
+    """All nested records of the three tables, shredded with all their fields and kept."""
+    return cut(shred(revision_records(revision, raw), revision_document).unionByName(shred(card_records(cards), plain_document)))
+
+
 def found(revision: DataFrame, raw: DataFrame, cards: DataFrame) -> DataFrame:
     """Each edit id, precedent work and plan line with its record, card and place.
 
     Columns as p3_found in TESTDATA.md. Members that are null or have no value
     give no row but are counted in ``pos``; repeated deliveries give one row.
     """
-    nodes = cut(shred(revision_records(revision, raw), revision_document, FOLLOWED).unionByName(shred(card_records(cards), plain_document, FOLLOWED)))
-    roots, bridge, objects = flat_tables(nodes)
+    roots, bridge, objects = flat_tables(record_nodes(revision, raw, cards))
     revised = attribute(follow(roots.where("record_table <> 'risk_cards'"), bridge, "revisions"), objects, "card_id", "card_id")
     edits = attribute(follow(revised, bridge, "edits", "pos"), objects, "edit_id", "val")
     items = attribute(follow(follow(revised, bridge, "precedents"), bridge, "items", "pos"), objects, "work_id", "val")

@@ -72,9 +72,67 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return N.found(table(spark, sf, "revision"), table(spark, sf, "revision_raw"), table(spark, sf, "risk_cards"))
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return N.record_nodes(table(spark, sf, "revision"), table(spark, sf, "revision_raw"), table(spark, sf, "risk_cards"))
+
+
+def p3_roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Every nested record with its identity."""
+    return N.flat_tables(_nodes(spark, sf))[0].withColumn("object_id", F.hex("object_id"))
+
+
+def p3_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place where an object or list member occurs: parent, field, ordinal, child."""
+    return N.flat_tables(_nodes(spark, sf))[1].select(F.hex("parent_id").alias("parent_id"), "field", "ordinal", F.hex("child_id").alias("child_id"))
+
+
+def p3_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct object once, its own fields as one JSON text."""
+    return N.flat_tables(_nodes(spark, sf))[2].select(F.hex("object_id").alias("object_id"), "types", F.to_json("scalars", {"ignoreNullFields": "false"}).alias("scalars"))
+
+
+def p3_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that could not be read."""
+    return N.faults(_nodes(spark, sf))
+
+
+_READ = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') AND left(ltrim({0} ->> '$'), 1) IN ('{{', '[') THEN CAST({0} ->> '$' AS JSON) ELSE {0} END"
+_MEMBERS = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'NULL' THEN [] ELSE CASE WHEN {0} IS NULL THEN [] ELSE [{0}] END END"
+_PAYLOADS = f"""
+WITH RECURSIVE opened AS (
+  SELECT DISTINCT raw_id, CAST(replace(payload, chr(65279), '') AS JSON) v FROM revision_raw WHERE json_valid(replace(payload, chr(65279), ''))
+  UNION ALL
+  SELECT raw_id, CAST(replace(v ->> '$', chr(65279), '') AS JSON) FROM opened WHERE json_type(v) = 'VARCHAR' AND json_valid(replace(v ->> '$', chr(65279), ''))
+), held AS (
+  SELECT raw_id, unnest(json_extract(v, ['$.revisions', '$.revision.revisions', '$.result.revision.revisions', '$[0].revisions', '$[1].revisions', '$[2].revisions'])) h FROM opened WHERE json_type(v) <> 'VARCHAR'
+), read AS (SELECT raw_id, {_READ.format("h")} h FROM held WHERE h IS NOT NULL
+), cards AS (
+  SELECT raw_id, CAST(NULL AS VARCHAR) k, unnest(CAST(h AS JSON[])) c FROM read WHERE json_type(h) = 'ARRAY'
+  UNION ALL SELECT raw_id, NULL, h FROM read WHERE json_type(h) = 'OBJECT' AND (json_exists(h, '$.card_id') OR json_exists(h, '$.edits') OR json_exists(h, '$.precedents'))
+  UNION ALL SELECT raw_id, k, unnest({_MEMBERS.format("c")}) FROM (SELECT raw_id, k, json_extract(h, '$."' || k || '"') c FROM (SELECT raw_id, h, unnest(json_keys(h)) k FROM read WHERE json_type(h) = 'OBJECT' AND NOT (json_exists(h, '$.card_id') OR json_exists(h, '$.edits') OR json_exists(h, '$.precedents'))))
+), card AS (
+  SELECT raw_id, coalesce(c ->> '$.card_id', k) card_id, {_READ.format("(c -> '$.edits')")} e, {_READ.format("(c -> '$.precedents')")} p FROM cards WHERE json_type(c) = 'OBJECT'
+), item AS (SELECT raw_id, card_id, CASE WHEN json_type(p) = 'OBJECT' AND (json_exists(p, '$.items') OR NOT json_exists(p, '$.work_id')) THEN {_READ.format("(p -> '$.items')")} ELSE p END p FROM card
+), raw AS (
+  SELECT 'edits' relation, raw_id root_id, card_id, unnest(e) x, generate_subscripts(e, 1) pos, '$.edit_id' f FROM (SELECT raw_id, card_id, {_MEMBERS.format("e")} e FROM card)
+  UNION ALL
+  SELECT 'precedent_items', raw_id, card_id, unnest(p), generate_subscripts(p, 1), '$.work_id' FROM (SELECT raw_id, card_id, {_MEMBERS.format("p")} p FROM item)
+)
+"""
+P3_FOUND = _PAYLOADS + """
+SELECT DISTINCT * FROM (
+  SELECT relation, root_id, card_id, pos, x ->> f AS val FROM raw
+  UNION ALL SELECT 'edits', revision_id, card_id, pos, e.edit_id FROM (SELECT revision_id, card_id, unnest(edits) e, generate_subscripts(edits, 1) pos FROM revision)
+  UNION ALL SELECT 'precedent_items', revision_id, card_id, pos, e.work_id FROM (SELECT revision_id, card_id, unnest(precedents.items) e, generate_subscripts(precedents.items, 1) pos FROM revision)
+  UNION ALL SELECT 'plan_lines', card_id, card_id, pos, CAST(e AS VARCHAR) FROM (SELECT card_id, unnest(why_applies.plan_lines) e, generate_subscripts(why_applies.plan_lines, 1) pos FROM risk_cards)
+) WHERE val IS NOT NULL
+"""
+P3_FAULTS = "SELECT DISTINCT 'revision_raw' AS record_table, raw_id AS root_id FROM revision_raw WHERE payload IS NULL OR NOT json_valid(replace(payload, chr(65279), ''))"
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
+    return {q.__name__: q for q in (p1_found, p1_report, p3_found, p3_roots, p3_bridge, p3_objects, p3_faults)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p3_found": P3_FOUND, "p3_faults": P3_FAULTS}

@@ -51,7 +51,20 @@ JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab
 @given(JSON, JSON)
 def test_identities_are_equal_exactly_for_equal_values(a, b):
     same = json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
-    assert (N.Shredder(None).identity(a) == N.Shredder(None).identity(b)) == same
+    assert (N.Shredder().identity(a) == N.Shredder().identity(b)) == same
+
+
+@settings(max_examples=150, deadline=None)
+@given(JSON)
+def test_records_are_rebuilt(value):
+    s, record = N.Shredder(), {"whole": value}
+    own = s.identity(record)
+    edges: dict = {}
+    for r in s.rows:
+        if r[0] == "edge":
+            edges.setdefault(r[3], []).append((r[4], r[5], r[6]))
+    objects = {r[6]: (r[7], dict(r[8])) for r in s.rows if r[0] == "object"}
+    assert json.dumps(N.rebuilt(own, edges, objects), sort_keys=True) == json.dumps(record, sort_keys=True)
 
 
 def test_equal_objects_are_stored_once(spark):
@@ -79,6 +92,44 @@ def test_any_depth_and_lists_of_revisions():
         deep = {"payload": deep}
     for _ in range(7):
         text = json.dumps(text)
-    assert N.revision_document(json.dumps(deep)) == N.revision_document(text) == {"revisions": [card]}
+    assert N.revision_document(json.dumps(deep))["revisions"] == N.revision_document(text)["revisions"] == [card]
     by_id = {"revisions": {"a": [{"edits": []}, {"edits": [{"x": 1}]}], "b": {"edits": []}}}
     assert [(c["card_id"], len(c["edits"])) for c in N.revision_document(json.dumps(by_id))["revisions"]] == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_nesting_beyond_the_recursion_limit(spark):
+    for n in (9, 50, 5_000):
+        text = '{"w": ' * n + json.dumps(SHAPES[0]) + "}" * n
+        mine = {r[:1] + r[2:] for r in _rows(spark, [text])}
+        assert mine == {("edits", "c1", 1, "e1"), ("edits", "c1", 4, "e4"), ("precedent_items", "c1", 1, "w1")}
+    within = json.dumps(CARD["edits"])
+    for _ in range(10):
+        within = json.dumps(within)
+    assert ("edits", "0", "c1", 4, "e4") in _rows(spark, [json.dumps({"revisions": [CARD | {"edits": json.loads(within)}]})])
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.integers(0, 12))
+def test_the_stack_reads_as_the_library(value, cut):
+    text = json.dumps(value, indent=1)
+    assert N._stacked(text) == value
+    short = text[: max(0, len(text) - cut)]
+    try:
+        want = json.loads(short)
+    except ValueError:
+        with pytest.raises(ValueError):
+            N._stacked(short)
+    else:
+        assert N._stacked(short) == want
+
+
+def test_faults_and_odd_text(spark):
+    df = spark.createDataFrame([("t", "1", None), ("t", "2", '{"a":'), ("t", "3", '{"a": "\\ud800 x", "": 5, "b": [[1, []], null]}')], "record_table string, root_id string, doc string")
+    nodes = N.shred(df, N.plain_document)
+    assert {r.root_id for r in N.faults(nodes).collect()} == {"1", "2"}
+    roots, bridge, objects = N.flat_tables(nodes)
+    edges: dict = {}
+    for r in bridge.collect():
+        edges.setdefault(bytes(r.parent_id), []).append((r.field, r.ordinal, bytes(r.child_id)))
+    held = {bytes(r.object_id): (r.types, r.scalars) for r in objects.collect()}
+    assert N.rebuilt(bytes(roots.first().object_id), edges, held) == {"a": "\\ud800 x", "": 5, "b": [[1, []], None]}
