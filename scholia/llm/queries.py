@@ -20,6 +20,12 @@ def p2_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(found.outcome == outcomes.UNKNOWN).groupBy("outcome_raw").count().withColumnRenamed("count", "n_decisions")
 
 
+def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """How many decisions were decided by mentions, by similarity and not at all."""
+    found = outcomes.mapped_decisions(table(spark, sf, "decisions"), table(spark, sf, "outcomes"))
+    return found.groupBy("path").count().withColumnRenamed("count", "n_decisions")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.all_units([(table(spark, sf, "reviews"), "review_id", "text", "reviews"), (table(spark, sf, "excerpts"), "excerpt_id", "text", "excerpts")])
 
@@ -75,7 +81,7 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.forms(table(spark, sf, "documents"), with_text=True).select("doc_id", "form")
 
 
-NAMES = (p2_found, p2_unmatched, p4_found, p5_found, p5_redacted, p6_pack, p6_fill, p7_mix, p7_report, p8_found, p8_forms)
+NAMES = (p2_found, p2_unmatched, p2_paths, p4_found, p5_found, p5_redacted, p6_pack, p6_fill, p7_mix, p7_report, p8_found, p8_forms)
 
 
 def queries() -> dict:
