@@ -92,24 +92,26 @@ def packed(sizes: DataFrame, capacities: list[tuple[str, int]], windows: int = W
     """
     if any(c < 1 for _, c in capacities):
         raise ValueError("a capacity must be at least one token")
-    sizes = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")))
+    # Null and repeated ids are told apart by a key of the row, which the checkpoint fixes.
+    row = F.concat_ws(".", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id().cast("string"))
+    sizes = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), row.alias("_row")))
     listed = F.explode(F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(int(c)).cast("bigint").alias("capacity")) for p, c in capacities]))
-    each = sizes.withColumn("_p", listed).select("doc_id", "n_tokens", "_p.pack_id", "_p.capacity")
+    each = sizes.withColumn("_p", listed).select("doc_id", "n_tokens", "_row", "_p.pack_id", "_p.capacity")
     whole = F.floor(F.col("n_tokens") / F.col("capacity"))
     rest = F.col("n_tokens") - whole * F.col("capacity")
     full = (
         each.where("n_tokens > capacity OR n_tokens = capacity")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)))
-        .select("pack_id", F.concat_ws("-", F.lit("d"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("token_start"), F.col("capacity").alias("n_tokens"))
+        .select("pack_id", F.concat_ws("-", "_row", "piece").alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("token_start"), F.col("capacity").alias("n_tokens"))
     )
-    items = each.select("pack_id", "capacity", "doc_id", whole.alias("piece"), (whole * F.col("capacity")).alias("token_start"), rest.alias("n_tokens")).where("n_tokens > 0 OR token_start = 0")
+    items = each.select("pack_id", "capacity", "doc_id", "_row", whole.alias("piece"), (whole * F.col("capacity")).alias("token_start"), rest.alias("n_tokens")).where("n_tokens > 0 OR token_start = 0")
     # One small row per capacity comes to the driver: how much there is to pack.
     totals = {r["pack_id"]: r["t"] for r in items.groupBy("pack_id").agg(F.sum("n_tokens").alias("t")).collect()}
     # By its hash an item finds its block; a block holds some windows' worth of tokens.
     blocks = F.lit(1)
     for p, c in capacities:
         blocks = F.when(F.col("pack_id") == p, F.lit(max(1, round((totals.get(p) or 0) / (c * windows))))).otherwise(blocks)
-    block = F.pmod(F.xxhash64("doc_id", "pack_id"), blocks)
+    block = F.pmod(F.xxhash64("_row", "pack_id"), blocks)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
@@ -117,7 +119,7 @@ def packed(sizes: DataFrame, capacities: list[tuple[str, int]], windows: int = W
         name = f"{pdf['block'].iloc[0]}-"
         return pdf.assign(container_id=[f"{name}{w}" for w in window])[["pack_id", "container_id", "doc_id", "piece", "token_start", "n_tokens"]]
 
-    return full.unionByName(items.withColumn("block", block).groupBy("pack_id", "block").applyInPandas(run, PACKED))
+    return full.unionByName(items.withColumn("block", block).drop("_row").groupBy("pack_id", "block").applyInPandas(run, PACKED))
 
 
 def fill_report(packs: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:

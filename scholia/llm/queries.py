@@ -59,8 +59,8 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = sizes.token_counts(table(spark, sf, "documents"), keep=("source", "n_chars", "lang"))
-    return mixing.mixed(docs.withColumn("weight", mixing.quality(F.col("n_chars"), F.col("lang"))), table(spark, sf, "mix_targets"))
+    docs = table(spark, sf, "documents").withColumn("weight", mixing.quality(F.col("text")))
+    return mixing.mixed(sizes.token_counts(docs, keep=("source", "weight")), table(spark, sf, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
