@@ -1,17 +1,18 @@
 """Sentence units of documents in many languages, scripts and layouts.
 
-Two machines in a row. A scanner turns a text into a short string of events
-(possible ends of sentences, paired quotes and brackets, kinds of line break),
-each judged by what stands next to it. A finite transducer, compiled from
-``RULES``, reads the events and says where units start; its state is what no
-local look can tell: how deep in quotes and brackets the text is and whether
-it is in a signature.
+Two machines in a row. A scanner turns a text
+into a short string of events (possible ends of sentences, paired quotes and
+brackets, kinds of line break), each judged by what stands next to it. A
+transducer reads the events and says where units start; its state is what no
+local look can tell: how deep in quotes and brackets the text is, to any depth,
+and whether it is in a signature.
 
 The events of a whole batch, with a mark between documents, are cut into
-chunks of equal length. Every chunk is run from every state at once, which
-gives it as a function from states to states; the functions are composed by a
-parallel prefix scan, and a second run from the states thus known gives the
-output. A long document is no slower than as many short ones.
+chunks of equal length. Every chunk is a function from states to states, kept
+as three numbers (what it adds to the depth, the least depth it leaves, and what
+it makes of the signature); the functions are composed by a parallel prefix
+scan, and a second run from the states thus known gives the output. A long
+document is no slower than as many short ones.
 """
 
 from __future__ import annotations
@@ -37,6 +38,15 @@ OPEN_ABBREVIATIONS = {
 # Abbreviations after which a sentence may end if the next word looks like a beginning.
 CLOSED_ABBREVIATIONS = {"etc", "u.s", "u.k", "u.s.a", "e.u", "a.m", "p.m", "i.i.d", "inc", "ltd", "corp", "co", "jr", "ph.d", "usw", "и т.д", "min", "max", "avg", "est"}
 
+# Abbreviations of states, which end a sentence only before a word that can open one.
+STATES = {"u.s", "u.k", "u.s.a", "e.u", "u.n"}
+
+# English words other than names that open sentences.
+OPENING = set(
+    "a about according after all also although an and another any are as at be because before being besides both but by can could despite do does due during each even every few finally first for from further given had has have he hence here how i if in indeed instead is it its last lastly least less like many may more moreover most much my "
+    "neither next no nor not nothing now of on once one only or other others our overall please rather same second several she should since so some still such than that the their then there therefore these they third this those though through thus to too two under unless until up upon was we well were what when where whereas whether which while who why will with within without would yes yet you your major minor".split()
+)
+
 # Names of months that follow an ordinal written with a full stop.
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 
@@ -70,49 +80,36 @@ MARKER = re.compile(r"(?:[-*•‣◦▪·–—][^\S\r\n]+|\(?(?:\d{1,3}|[a-zA-
 HEADING = re.compile(r"#{1,6}[^\S\r\n]+\S.*|(\*\*|__)(?:(?!\1).)+\1:?|\[[^\]\r\n]{1,60}\]:?|【[^】\r\n]{1,60}】")
 CONTACT = re.compile(r"(?:☎ ?|[^\W\d_.-]{2,12}\.?[:：]? ?)?(?:[\w.+-]+[@＠]\S+\.\w+|\+?[\d(][\d ()/.-]{6,})")
 ATTACHED = re.compile(f".*[{WIDE}가-힣]")
+BREAKING = frozenset("\"“”„«»‹›「」『』()[]（）【】《》,;:!?…。")
 LAST_WORD = re.compile(r"[^\s\"“”„«»‹›「」『』()\[\]（）【】《》,;:!?…。]+\Z")
 #: Lines are not taken to be wrapped at fewer characters than this.
 LEAST_WIDTH = 45
-#: How far back the word before a full stop is looked for.
-LOOK_BACK = 40
+#: No abbreviation is longer.
+LONGEST = 24
 
-# The transducer. States: depth of quotes (0 to DEEPEST) and whether in a signature.
-DEEPEST = 3
+# The transducer. State: depth of quotes and brackets, and whether in a signature.
 CLASSES = ("document", "hard", "end", "open", "close", "line", "wrap", "closing")
 DOCUMENT, HARD, END, OPEN, CLOSE, LINE, WRAP, CLOSING = range(len(CLASSES))
 
 
-def _rule(depth: int, signed: bool, event: int) -> tuple[int, bool, bool]:
-    """(depth, signed, does a unit start) after an event: the boundary rules."""
-    if event in (DOCUMENT, HARD):
-        return 0, False, True
-    if event == OPEN:
-        return min(depth + 1, DEEPEST), signed, False
-    if event == CLOSE:
-        return max(depth - 1, 0), signed, False
-    if event == CLOSING:
-        return 0, True, True
-    starts = (signed or depth == 0) if event in (LINE, WRAP) and (event == LINE or signed) else event == END and depth == 0
-    return depth, signed, starts
+#: What each class adds to the depth and the least depth after it; far below 0 is a reset.
+RESET = -(1 << 40)
+ADDS = np.array([RESET if c in (DOCUMENT, HARD, CLOSING) else 1 if c == OPEN else -1 if c == CLOSE else 0 for c in range(len(CLASSES))], np.int64)
+#: Whether text behind it is in a signature: 0 no, 1 yes, 2 as before.
+SIGNS = np.array([0 if c in (DOCUMENT, HARD) else 1 if c == CLOSING else 2 for c in range(len(CLASSES))], np.int8)
 
 
-def compiled() -> tuple[np.ndarray, np.ndarray]:
-    """Transitions and outputs of the transducer by state and class."""
-    states = 2 * (DEEPEST + 1)
-    step, starts = np.zeros((states, len(CLASSES)), np.int8), np.zeros((states, len(CLASSES)), bool)
-    for s in range(states):
-        for c in range(len(CLASSES)):
-            depth, signed, out = _rule(s // 2, bool(s % 2), c)
-            step[s, c], starts[s, c] = depth * 2 + signed, out
-    return step, starts
-
-
-STEP, STARTS = compiled()
+def step(depth: np.ndarray, signed: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, signed, does a unit start) after an event: the boundary rules."""
+    free = depth == 0
+    starts = (event == DOCUMENT) | (event == HARD) | (event == CLOSING) | (event == END) & free | (event == LINE) & (signed | free) | (event == WRAP) & signed
+    kept = SIGNS[event]
+    return np.maximum(depth + ADDS[event], 0), np.where(kept == 2, signed, kept == 1), starts
 
 
 def transduce(events: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """Output of the transducer for each event, from state 0, by chunk functions and a prefix scan."""
-    n, states = len(events), STEP.shape[0]
+    """Output of the transducer for each event, from depth 0 outside a signature, by chunk functions and a prefix scan."""
+    n = len(events)
     if not n:
         return np.zeros(0, bool)
     chunk = max(1, min(chunk, int(np.sqrt(n)) + 1))
@@ -120,18 +117,24 @@ def transduce(events: np.ndarray, chunk: int = 256) -> np.ndarray:
     grid = np.full(chunks * chunk, OPEN, np.int8)  # padding after the last event changes no output
     grid[:n] = events
     grid = grid.reshape(chunks, chunk)
-    f = np.broadcast_to(np.arange(states, dtype=np.int8), (chunks, states)).copy()
+    # A chunk takes depth d to max(d + add, least) and leaves the signature as it is (2) or sets it.
+    add, least, sign = np.zeros(chunks, np.int64), np.zeros(chunks, np.int64), np.full(chunks, 2, np.int8)
     for t in range(chunk):
-        f = STEP[f, grid[:, t, None]]
+        c = grid[:, t]
+        add, least = np.maximum(add + ADDS[c], RESET), np.maximum(least + ADDS[c], 0)
+        sign = np.where(SIGNS[c] == 2, sign, SIGNS[c])
     gap = 1
-    while gap < chunks:  # inclusive scan: f[i] becomes the function of chunks 0 to i
-        f = np.concatenate([f[:gap], np.take_along_axis(f[gap:], f[:-gap], axis=1)])
+    while gap < chunks:  # inclusive scan: chunk i becomes the function of chunks 0 to i
+        new_least = np.maximum(least[:-gap] + add[gap:], least[gap:])
+        new_add = np.maximum(add[:-gap] + add[gap:], RESET)
+        new_sign = np.where(sign[gap:] == 2, sign[:-gap], sign[gap:])
+        add, least, sign = np.concatenate([add[:gap], new_add]), np.concatenate([least[:gap], new_least]), np.concatenate([sign[:gap], new_sign])
         gap *= 2
-    state = np.concatenate([np.zeros(1, np.int8), f[:-1, 0]])
+    depth = np.concatenate([[0], np.maximum(add, least)[:-1]])
+    signed = np.concatenate([[False], sign[:-1] == 1])
     out = np.zeros((chunks, chunk), bool)
     for t in range(chunk):
-        out[:, t] = STARTS[state, grid[:, t]]
-        state = STEP[state, grid[:, t]]
+        depth, signed, out[:, t] = step(depth, signed, grid[:, t])
     return out.reshape(-1)[:n]
 
 
@@ -156,14 +159,37 @@ def _begins(text: str, at: int) -> bool:
     return text[at + 1 : at + 2] == "-" and text[at + 2 : at + 3].isalpha() or text[at + 1 : at + 2].isupper()
 
 
-def _word_before(text: str, at: int) -> str:
-    """The word before a mark; of letters attached to a script without spaces only themselves."""
-    m = LAST_WORD.search(text, max(0, at - LOOK_BACK), at)
-    word = m.group() if m else ""
-    return ATTACHED.sub("", word) if word and word[-1].isascii() and not word.isascii() else word
+class Before:
+    """The word before a mark, of letters attached to a script without spaces only themselves; marks are asked for in order.
+
+    Of a word longer than any abbreviation the last letters are given, and what
+    else it holds (@, / or a dot) is known from the part seen before.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.begin, self.seen, self.holds = text, 0, 0, ""
+
+    def __call__(self, at: int) -> tuple[str, str]:
+        """(the word or its end, which of the signs @ / . it holds)."""
+        text, i = self.text, at
+        attached = at > 0 and text[at - 1].isascii()
+        while i > 0 and not text[i - 1].isspace() and text[i - 1] not in BREAKING and not (attached and _unspaced(text[i - 1])):
+            i -= 1
+            if i == self.seen and self.begin < i:  # the rest was looked at before
+                held = self.holds + "".join(c for c in "@/." if c in text[i:at])
+                i = self.begin
+                break
+        else:
+            held = "".join(c for c in "@/." if c in text[i:at])
+        self.begin, self.seen, self.holds = i, at, "".join(dict.fromkeys(held))
+        return text[max(i, at - LONGEST) : at], self.holds
+
+
+def _unspaced(c: str) -> bool:
+    return "⺀" <= c <= "鿿" or "豈" <= c <= "﫿" or "＀" <= c <= "￯" or "가" <= c <= "힣"
 
 
-def _ends(text: str, start: int, stop: int, closed: bool) -> int:
+def _ends(text: str, start: int, stop: int, closed: bool, before: Before) -> int:
     """Where the next unit starts if a sentence may end with the run at start..stop, else -1.
 
     ``stop`` is behind any closing signs; ``closed`` says that there are some.
@@ -192,7 +218,7 @@ def _ends(text: str, start: int, stop: int, closed: bool) -> int:
         # Attached: only where the script or a capital shows a beginning.
         if wide or "ก" <= c <= "๛":
             return at if not closed or c not in "，、；：" else -1
-        word = _word_before(text, start)
+        word, holds = before(start)
         if closed and not asks and c.isalpha() and not c.isupper():
             return -1
         if "가" <= c <= "힣":
@@ -204,7 +230,7 @@ def _ends(text: str, start: int, stop: int, closed: bool) -> int:
             return -1
         if asks or closed:
             return at
-        if word.lower() in OPEN_ABBREVIATIONS or "@" in word or "/" in word or len(word) < 2 or ("." in word and word.lower() not in CLOSED_ABBREVIATIONS and not word[-1].isdigit()):
+        if word.lower() in OPEN_ABBREVIATIONS or "@" in holds or "/" in holds or len(word) < 2 or ("." in holds and word.lower() not in CLOSED_ABBREVIATIONS and not word[-1].isdigit()):
             return -1
         following = re.match(r"[\w.+-]*@?", text[at : at + 64])
         return at if (word[-1].islower() or word[-1].isdigit() or not word[-1].isupper()) and not (following and following.group().endswith("@")) else -1
@@ -217,10 +243,13 @@ def _ends(text: str, start: int, stop: int, closed: bool) -> int:
     if closed:
         # A closing bracket after an abbreviation, as in (Velquist Inc.) keeps.
         return at if begins else -1
-    word = _word_before(text, start)
+    word, holds = before(start)
     low = word.lower().lstrip("*_'’-")
     if low in OPEN_ABBREVIATIONS:
         return -1
+    if low in STATES and c.isupper():
+        following = re.match(r"[^\W\d_]+", text[at : at + 24]).group()
+        return at if following[0] > "ɏ" or following.lower() in OPENING or following.endswith(("ly", "ing", "ed")) or following.isupper() and len(following) == 1 else -1
     if low in CLOSED_ABBREVIATIONS:
         return at if begins else -1
     if len(word) == 1 and word.isalpha() and not ("぀" <= word <= "힣"):
@@ -238,7 +267,7 @@ def _ends(text: str, start: int, stop: int, closed: bool) -> int:
             return -1  # the number of a list item
         return at
     if lower and not _begins(text, at):
-        return at if len(low) > 3 and "." not in low and low.isalpha() else -1
+        return at if len(low) > 3 and "." not in holds and low.isalpha() else -1
     return at
 
 
@@ -284,20 +313,25 @@ def scan(text: str) -> tuple[list[int], list[int]]:
     size = len(text)
     quotes: list[tuple[int, str]] = []
     paired: dict[int, int] = {}
-    width = 0
-    breaks = False
+    before = Before(text)
+    # The width to which the lines of each paragraph are wrapped.
+    widths: list[int] = []
+    width = begin = 0
     for group, s, e in tokens:
         if group == "q":
             quotes.append((s, text[s]))
         elif group == "n":
-            breaks = True
-            if _blank(text, s, e) and quotes:
-                paired.update(_paired(quotes))
-                quotes = []
+            width, begin = max(width, s - begin), e
+            if _blank(text, s, e):
+                widths.append(max(LEAST_WIDTH, width))
+                width = 0
+                if quotes:
+                    paired.update(_paired(quotes))
+                    quotes = []
     if quotes:
         paired.update(_paired(quotes))
-    if breaks:
-        width = max(LEAST_WIDTH, max(len(x.strip()) for x in text.splitlines()))
+    widths.append(max(LEAST_WIDTH, width, len(text.rstrip()) - begin))
+    paragraph = 0
     line = 0
     for group, s, e in tokens:
         if group == "t":
@@ -309,7 +343,7 @@ def scan(text: str) -> tuple[list[int], list[int]]:
                 nxt += 1
             if paired.get(nxt) == CLOSE:
                 continue  # judged behind the closing sign
-            at = _ends(text, s, stop, stop > e)
+            at = _ends(text, s, stop, stop > e, before)
             if at >= 0:
                 kinds.append(END)
                 places.append(at)
@@ -332,7 +366,7 @@ def scan(text: str) -> tuple[list[int], list[int]]:
                     begin = back
                     while begin > 0 and (text[begin - 1] in SOFT or text[begin - 1] in STRONG):
                         begin -= 1
-                    at = _ends(text, begin, stop, True)
+                    at = _ends(text, begin, stop, True, Before(text))
                     if at >= 0:
                         kinds.append(END)
                         places.append(at)
@@ -343,14 +377,15 @@ def scan(text: str) -> tuple[list[int], list[int]]:
             kinds.append(END)
             places.append(e)
         else:
+            blank = _blank(text, s, e)
             if e < size:
-                if _blank(text, s, e):
+                if blank:
                     kind = HARD
                 else:
                     stop = e
                     while stop < size and text[stop] not in "\r\n\v\f\x85  ":
                         stop += 1
-                    kind = _line_kind(text[line:s].strip(), text[e:stop].strip(), width, not text[:line].strip())
+                    kind = _line_kind(text[line:s].strip(), text[e:stop].strip(), widths[paragraph], not text[:line].strip())
                 kinds.append(kind)
                 places.append(e)
                 if kind == HARD:
@@ -359,6 +394,7 @@ def scan(text: str) -> tuple[list[int], list[int]]:
                     if first.rstrip(" ,.!،、，。！").casefold() in CLOSINGS:
                         kinds.append(CLOSING)
                         places.append(e)
+            paragraph += blank
             line = e
     return kinds, places
 

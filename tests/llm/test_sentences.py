@@ -55,16 +55,28 @@ def test_units_cover_all_but_white_space(texts):
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, len(S.CLASSES) - 1), max_size=400), st.integers(1, 50))
 def test_scan_equals_a_plain_run(events, chunk):
-    state, want = 0, []
+    depth, signed, want = 0, False, []
     for c in events:
-        want.append(bool(S.STARTS[state, c]))
-        state = S.STEP[state, c]
+        want.append(c in (S.DOCUMENT, S.HARD, S.CLOSING) or c == S.END and depth == 0 or c == S.LINE and (signed or depth == 0) or c == S.WRAP and signed)
+        depth = 0 if c in (S.DOCUMENT, S.HARD, S.CLOSING) else depth + 1 if c == S.OPEN else max(0, depth - 1) if c == S.CLOSE else depth
+        signed = False if c in (S.DOCUMENT, S.HARD) else c == S.CLOSING or signed
     assert S.transduce(np.array(events, np.int8), chunk).tolist() == want
 
 
+def test_any_depth_length_and_width():
+    nested = "A (b [c “d «e f» g” h] i. J k l) done."
+    assert split(nested + " So it is.") == [nested, "So it is."]
+    for n in (5, 60, 3000):
+        assert len(split("Write to " + "a" * n + "@mail.example.The rest.")) == 1
+    wrapped = "The authors compare all of their own results with the\nBERT model on two tasks."
+    assert split(wrapped)[0] == wrapped and split(wrapped + "\n\n" + "It goes on and on, " * 40 + "and ends.")[0] == wrapped
+    assert split("We use the U.S. Navy data. All live in the U.S. The rest do not.") == ["We use the U.S. Navy data.", "All live in the U.S.", "The rest do not."]
+    assert len(split("a." * 200_000)) >= 1
+
+
 def test_batches_do_not_matter():
     texts = [" ".join(p) for p in CASES] * 3 + ["", None, "   "]
     together = S.units(texts)
