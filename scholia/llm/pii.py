@@ -10,6 +10,7 @@ by Viterbi over numpy batches.
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from collections import Counter
@@ -28,6 +29,8 @@ from scholia.session import spread
 KINDS = ("name", "email", "phone", "id", "address")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 3
+#: Parts of the training batches that see the whole window, the next tokens, and a token alone.
+NARROWED = (0.4, 0.3, 0.3)
 
 _AT, _DOT = r"(?:@|＠|\s?[\[(]at[\])]\s?|\sAT\s)", r"(?:\.|\s?[\[(]dot[\])]\s?|\sDOT\s)"
 _WIDE = "ᄀ-ᇿ⺀-〇ぁ-ヿ㄰-㆏㐀-鿿가-힣豈-﫿"
@@ -46,13 +49,13 @@ _MAILISH = re.compile(r"[@＠]|[\[(]at[\])]| AT ")
 _DIGITS = str.maketrans("0123456789０１２３４５６７８９", "d" * 20)
 
 
-def _key(group: str, token: str, before: str) -> tuple[str, str, str]:
+def _key(group: str, token: str, before: str, beside: str) -> tuple[str, str, str, str]:
     """What tokens have in common that the field treats alike."""
     if group in ("chain", "mixed"):
         token = unicodedata.normalize("NFKC", token).translate(_DIGITS)
     elif group in ("mail", "handle", "mention"):
         token = ""
-    return group, token, before
+    return group, token, before, beside
 
 
 def _shape(word: str) -> str:
@@ -60,16 +63,42 @@ def _shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s)
 
 
-def features(key: tuple[str, str, str], known: set[str] | None = None) -> list[str]:
-    """Features of a kind of token: shape, ends and, where it is a common word, the word itself."""
-    group, token, before = key
+@lru_cache(maxsize=2)
+def common_words(paths: tuple[str, ...]) -> frozenset[str]:
+    """Words in general use: the pieces of public tokenizers' vocabularies (files of fixed size) that begin a word in lower case."""
+    found = set()
+    for path in paths:
+        with open(path, "rb") as lines:
+            for line in lines:
+                if line.strip() and (piece := base64.b64decode(line.split()[0]))[:1] == b" ":
+                    word = piece[1:].decode("utf-8", "ignore")
+                    if len(word) > 1 and word.isalpha() and word.islower():
+                        found.add(word)
+    return frozenset(found)
+
+
+def default_vocabulary() -> tuple[str, ...]:
+    """The paths of the vocabulary files where the public tokenizers are installed, else none: words then tell by shape and ends alone."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return ()
+    return tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
+
+
+def features(key: tuple[str, str, str, str], known: set[str] | None = None, common: frozenset[str] = frozenset()) -> list[str]:
+    """Features of a kind of token: shape, ends, whether it is in general use and, where the table holds it often, the word itself."""
+    group, token, before, beside = key
     out = [f"g={group}", f"b={before}", f"gb={group}{before}"]
     if group in ("chain", "mixed"):
         out += [f"d={token}", f"dn={token.count('d')}", f"ds={re.sub('d+', 'd', token)}", f"dl={min(len(token), 12)}{'-' in token}{' ' in token}"]
     elif group == "word":
         low, shape = token.lower(), _shape(token)
         out += [f"s={shape}", f"sb={shape}{before}", f"e={low[-3:]}", f"e4={low[-4:]}", f"p={low[:2]}", f"l={min(len(token), 9)}"]
-        out += ["latin" if token[0] < "ɐ" else "other"]
+        use = "use" if low in common else "new"
+        out += ["latin" if token[0] < "ɐ" else "other", use, f"{use}={shape}", f"{use}={shape}{before}"]
+        if beside:
+            out += [f"pn={beside}", f"p1={beside[0]}{use}", f"n1={beside[1]}{use}", f"{shape}pn={beside}", f"{use}pn={beside}"]
         if known is None or low in known:
             out += [f"w={low}", f"W={token}"]
         else:
@@ -95,6 +124,25 @@ def _before(text: str, last: int, start: int) -> str:
     return "n" if not last or "\n" in gap or "\r" in gap else " "
 
 
+@lru_cache(maxsize=1 << 16)
+def _class(token: str) -> str:
+    """What a token looks like to the capitalised words beside it."""
+    word = token.partition("\0")[2]
+    if not word[0].isalpha():
+        return "d" if word[0].isdigit() else "a" if len(word) > 1 else word
+    return "l" if not word[0].isupper() else "I" if len(word) == 1 else "A" if word.isupper() else "M" if any(c.isdigit() or c.isupper() for c in word[2:]) else "C"
+
+
+def _beside(tokens: list[str], begin: int) -> None:
+    """Adds to each capitalised word of a text what stands before and after it."""
+    classes = [_class(t) for t in tokens[begin:]]
+    for i, c in enumerate(classes):
+        if c in "ACIM":
+            before = classes[i - 1] if i and tokens[begin + i][0] != "n" else "^"
+            after = classes[i + 1] if i + 1 < len(classes) and tokens[begin + i + 1][0] != "n" else "$"
+            tokens[begin + i] += "\0" + before + after
+
+
 def lex(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """All tokens of a batch, each after the sign of how it is set off, their starts and ends, and how many each text has."""
     tokens, starts, ends, counts = [], [], [], []
@@ -111,14 +159,15 @@ def lex(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray
             starts.append(s)
             ends.append(e)
             last = e
+        _beside(tokens, n)
         counts.append(len(tokens) - n)
     return tokens, np.array(starts, np.int32), np.array(ends, np.int32), np.array(counts, np.int64)
 
 
-def _parsed(token: str) -> tuple[str, str, str]:
-    before, _, word = token.partition("\0")
+def _parsed(token: str) -> tuple[str, str, str, str]:
+    before, word, beside = (*token.split("\0"), "")[:3]
     group = LEXER.fullmatch(word).lastgroup
-    return "word" if group == "part" else group, word, before
+    return "word" if group == "part" else group, word, before, beside
 
 
 def _tags(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -153,13 +202,13 @@ def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Field:
     """Weights of the field: by distance, feature and tag, and of transitions."""
 
-    def __init__(self, index: dict[str, int], known: set[str], weights: np.ndarray, moves: np.ndarray, first: np.ndarray) -> None:
-        self.index, self.known, self.weights, self.moves, self.first = index, known, weights, moves, first
+    def __init__(self, index: dict[str, int], known: set[str], weights: np.ndarray, moves: np.ndarray, first: np.ndarray, common: frozenset[str] = frozenset()) -> None:
+        self.index, self.known, self.weights, self.moves, self.first, self.common = index, known, weights, moves, first, common
         self._rows: dict[str, int] = {}
         self._table = np.zeros((1024, 2 * WINDOW + 1, len(TAGS)), np.float32)
 
     def __getstate__(self) -> tuple:
-        return self.index, self.known, self.weights, self.moves, self.first
+        return self.index, self.known, self.weights, self.moves, self.first, self.common
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -173,7 +222,7 @@ class Field:
             row = held[token] = len(held) + 1  # row 0 stands between texts
             if row >= len(self._table):
                 self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-            ids = [self.index[f] for f in features(_key(*_parsed(token)), self.known) if f in self.index]
+            ids = [self.index[f] for f in features(_key(*_parsed(token)), self.known, self.common) if f in self.index]
             self._table[row] = self.weights[:, ids].sum(axis=1) if ids else 0
         return np.fromiter(map(held.__getitem__, tokens), np.int64, len(tokens))
 
@@ -259,7 +308,7 @@ def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(at, rows[:, k], size) for k in range(rows.shape[1])], 1).astype(np.float32)
 
 
-def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, rate: float = 0.12, decay: float = 2e-5, seed: int = 3) -> Field:
+def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, rate: float = 0.18, decay: float = 2e-5, seed: int = 3, common: frozenset[str] = frozenset()) -> Field:
     """Maximum conditional likelihood by AdaGrad; ``table`` is the bounded labelled sample."""
     texts = [t for t, _ in table]
     tokens, starts, ends, counts = lex(texts)
@@ -274,7 +323,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8,
     kinds = [_key(*k) for k in keys]
     distinct = sorted(set(kinds))
     place = {k: i for i, k in enumerate(distinct)}
-    lists = [features(k, known) for k in distinct]
+    lists = [features(k, known, common) for k in distinct]
     index: dict[str, int] = {}
     for fs in lists:
         for f in fs:
@@ -296,6 +345,8 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8,
         order = order[counts[order] > 0]
         batches = np.array_split(order, max(1, len(order) // 160))
         for part in [batches[i] for i in rng.permutation(len(batches))]:
+            # Some batches show less of the window, so that a token's own form counts where its context is new.
+            reach = int(rng.choice([WINDOW, 1, 0], p=NARROWED))
             c = counts[part]
             where, mask = _padded(c)
             where = where - (np.cumsum(c) - c)[:, None] + begin[part][:, None]
@@ -312,7 +363,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8,
             local[mask] = inverse
             size = where.shape[1]
             emit = np.zeros((*where.shape, n_tags), np.float32)
-            for o in range(-WINDOW, WINDOW + 1):
+            for o in range(-reach, reach + 1):
                 a, b = max(0, -o), size - max(0, o)
                 if a < b:
                     emit[:, a:b] += table_of[o + WINDOW][local[:, a + o : b + o]] * mask[:, a + o : b + o, None]
@@ -336,7 +387,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8,
             at = np.nonzero(mask)
             grad[at[0], at[1], g[mask]] -= 1
             start = grad[:, 0].sum(0)
-            for o in range(-WINDOW, WINDOW + 1):
+            for o in range(-reach, reach + 1):
                 a, b = max(0, -o), size - max(0, o)
                 if a >= b:
                     continue
@@ -350,27 +401,22 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8,
             seen_f += gf * gf
             moves -= rate * gm / np.sqrt(seen_m)
             first -= rate * gf / np.sqrt(seen_f)
-    return Field(index, known, w, moves, first)
+    return Field(index, known, w, moves, first, common)
 
 
 @lru_cache(maxsize=2)
-def trained(rows: int = 2400) -> Field:
-    """The field trained from ``rows`` labelled rows (the bound), once in a driver."""
-    return train(labelled_rows(rows))
+def trained(rows: int = 4000, paths: tuple[str, ...] | None = None) -> Field:
+    """The field trained from ``rows`` labelled rows (the bound), once in a driver; ``paths`` of vocabularies as installed unless given."""
+    common = common_words(default_vocabulary() if paths is None else paths)
+    return train(labelled_rows(rows, words=sorted(common)), common=common)
 
 
 def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
-    """A span without the punctuation around it; None where it cannot be what it is said to be."""
+    """A span without the punctuation around it; None where nothing else is in it."""
     while start < end and (text[start].isspace() or text[start] in ",;:.()[]（）<>\"'“”«»-–—，。；：、" and not (text[start] == "(" and kind == "phone")):
         start += 1
     while end > start and (text[end - 1].isspace() or text[end - 1] in ",;:.()[]（）<>\"'“”«»-–—，。；：、!?！？"):
         end -= 1
-    value = text[start:end]
-    digits = sum(c.isdigit() for c in value)
-    if kind == "email" and not LEXER.fullmatch(value) or kind == "phone" and not 7 <= digits <= 15 or kind == "id" and digits < 4 and "~" not in value or kind == "address" and not digits:
-        return None
-    if kind == "name" and (sum(c.isalpha() for c in value) < 2 or re.search(r"\d|@", value)):
-        return None
     return (start, end) if start < end else None
 
 
