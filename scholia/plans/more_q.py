@@ -16,12 +16,12 @@ from scholia.sources.files import csv_safe
 from scholia.sources.tables import table
 
 REFERENCE = r"(Figs?|Tab|Table|Sec|Eq|App|Alg|Thm|No)\.? \(?([0-9]+(?:\.[0-9]+)?)"
-QUANTITY = r"([0-9]+(?:\.[0-9]+)?) ?(%|percent|points|epochs|GPU hours|μm|Å)"
+UNITS = "%|percent|points|epochs|GPU hours|μm|Å"
 QUOTE = "[\"“]([^\"“”]{3,200})[\"”]"
-NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 #: A number, its thousands grouped by commas or not.
-GROUPED = r"(?:(?<![0-9])(?<![0-9]\.)[1-9][0-9]{0,2}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?"
-GROUPED_QUANTITY = f"({GROUPED}) ?(%|percent|points|epochs|GPU hours|μm|Å)"
+WRITTEN = r"(?:[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?\b|[0-9]+(?:\.[0-9]+)?)"
+GROUPED = WRITTEN
+GROUPED_QUANTITY = f"({GROUPED}) ?({UNITS})"
 
 
 def _plain(number):
@@ -142,15 +142,17 @@ def oracle_sql():
 
     bm25 = search_sql()["i_bm25"]
     near = search_sql()["i_dense"].split("SELECT query_id, rank, doc_id, round(s")[0]
+    value = f"CAST(replace(regexp_extract(q, '^({WRITTEN})', 1), ',', '') AS DOUBLE)"
     sq = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
     return {
         "h_references": f("reviews") + f"SELECT regexp_extract(ref, '{REFERENCE}', 1) AS kind, regexp_extract(ref, '{REFERENCE}', 2) AS number, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{REFERENCE}')) AS ref FROM reviews1) GROUP BY 1, 2",
-        "h_quantities": f("reviews") + f"SELECT regexp_extract(q, '{QUANTITY}', 2) AS unit, count(*) AS n, min(CAST(regexp_extract(q, '{QUANTITY}', 1) AS DOUBLE)) AS least, max(CAST(regexp_extract(q, '{QUANTITY}', 1) AS DOUBLE)) AS greatest FROM (SELECT unnest(regexp_extract_all(text, '{QUANTITY}')) AS q FROM reviews1) GROUP BY 1",
+        # Without look-behind a number that is grouped is told from a decimal part by splitting off the sign before it.
+        "h_quantities": f("reviews") + f"SELECT regexp_extract(q, '({UNITS})$', 1) AS unit, count(*) AS n, min({value}) AS least, max({value}) AS greatest FROM (SELECT unnest(regexp_extract_all(text, '{WRITTEN} ?(?:{UNITS})')) AS q FROM reviews1) GROUP BY 1",
         "h_quotes": f("reviews") + f"SELECT quote, count(*) AS n_reviews FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '{QUOTE}', 1))) AS quote FROM reviews1) GROUP BY 1",
-        "b_unsupported_numbers": f("revision", "excerpts")[:-1] + f", r AS (SELECT revision_id, pos, e.proposed_text AS text, e.rationale.excerpt_ids AS ids FROM (SELECT revision_id, unnest(edits) AS e, generate_subscripts(edits, 1) AS pos FROM revision1)), s AS (SELECT DISTINCT revision_id, pos, unnest(regexp_extract_all(text, '{NUMBER}')) AS x FROM r), h AS (SELECT DISTINCT revision_id, pos, unnest(regexp_extract_all(e.text, '{NUMBER}')) AS x FROM (SELECT revision_id, pos, unnest(ids) AS excerpt_id FROM r) i JOIN excerpts1 e USING (excerpt_id)) SELECT revision_id, count(*) AS n_unsupported FROM (SELECT * FROM s EXCEPT SELECT * FROM h) GROUP BY 1",
+        "b_unsupported_numbers": f("revision", "excerpts")[:-1] + f", r AS (SELECT revision_id, pos, e.proposed_text AS text, e.rationale.excerpt_ids AS ids FROM (SELECT revision_id, unnest(edits) AS e, generate_subscripts(edits, 1) AS pos FROM revision1)), s AS (SELECT DISTINCT revision_id, pos, replace(unnest(regexp_extract_all(text, '{WRITTEN}')), ',', '') AS x FROM r), h AS (SELECT DISTINCT revision_id, pos, replace(unnest(regexp_extract_all(e.text, '{WRITTEN}')), ',', '') AS x FROM (SELECT revision_id, pos, unnest(ids) AS excerpt_id FROM r) i JOIN excerpts1 e USING (excerpt_id)) SELECT revision_id, count(*) AS n_unsupported FROM (SELECT * FROM s EXCEPT SELECT * FROM h) GROUP BY 1",
         "c_text_contained": f("excerpts", "assemble_live_smoke3")[:-1] + f", n AS (SELECT DISTINCT {sq('text')} AS t FROM excerpts1 WHERE length({sq('text')}) >= 20) SELECT sha256(t) AS needle_id, count(*) AS n_plans FROM n JOIN assemble_live_smoke31 ON contains(' ' || {sq('plan_text')} || ' ', ' ' || t || ' ') GROUP BY 1",
         "d_field_lift": f("decisions", "works")[:-1] + f", o AS (SELECT work_id, max(CAST(o IN ('reject', 'desk_reject') AS INT)) AS bad FROM (SELECT work_id, {_rules(2)} AS o FROM decisions1 WHERE outcome_raw IS NOT NULL AND work_id IS NOT NULL) WHERE o <> 'unknown' GROUP BY 1), w AS (SELECT bad, fields FROM works1 JOIN o USING (work_id)), b AS (SELECT round(avg(bad), 4) AS base FROM w) SELECT field, n_works, share, round(share / nullif(base, 0), 3) AS lift FROM (SELECT field, count(*) AS n_works, round(avg(bad), 4) AS share FROM (SELECT bad, unnest(list_distinct(fields)) AS field FROM w) GROUP BY 1), b",
-        "d_hits_at_three": near + "SELECT query_id, round(sum(CAST(label = own AS INT)) / 3, 6) AS precision_at_3, sum(CAST(label = own AS INT)) > 0 AS hit_at_3 FROM r WHERE rank <= 3 AND query_id <> doc_id GROUP BY 1",
+        "d_hits_at_three": near + "SELECT query_id, round(sum(CAST(label = own AS INT)) / 3, 6) AS precision_at_3, sum(CAST(label = own AS INT)) > 0 AS hit_at_3 FROM o WHERE rank <= 3 GROUP BY 1",
         "h_batches": f("excerpts") + "SELECT source_id, batch, count(*) AS n, max(span_end) AS ends FROM (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY span_start NULLS FIRST, excerpt_id) - 1) // 5 AS batch FROM excerpts1 WHERE source_id IS NOT NULL) GROUP BY 1, 2",
         "n_daily_budget": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING count(*) > 1",
         "a_csv_export": f"WITH hits AS ({bm25}), w AS (SELECT * FROM works QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ingested_at) = 1) SELECT query_id, CAST(rank AS VARCHAR) AS rank, CASE WHEN regexp_matches(title, '^[=+\\-@\\t\\r]') THEN '''' || title ELSE title END AS title, CAST(CAST(round(CAST(score AS DECIMAL(10,6)), 4) AS DECIMAL(10,4)) AS VARCHAR) AS similarity FROM hits LEFT JOIN w ON w.work_id = doc_id WHERE rank <= 3",

@@ -118,6 +118,7 @@ def h_plan_lines(spark, sf):
     return each.select("plan_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
+# Fixed value: the form of a Markdown heading.
 HEADING = r"^[ \t]{0,3}(#{1,6})[ \t]+(.*)$"
 
 
@@ -193,6 +194,7 @@ def g_section_of(spark, sf):
     return e.select(sec.alias("section")).where("section IS NOT NULL").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Fixed value: the headings of review sections, as the reference has them, with its word class written out.
 SECTION = r"^[^A-Za-z0-9_]{0,4}(strengths?|pros|weakness(?:es)?|cons|questions?|limitations?|concerns?|summary|soundness|presentation|contribution|rating|confidence)\b"
 
 
@@ -219,6 +221,25 @@ def _rules(what: int) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({key}, '{r[1]}') THEN '{r[what]}'" for r in R.DECISION_RULES) + (" ELSE 'unknown' END" if what == 2 else " ELSE 'unmatched:' || outcome_raw END")
 
 
+#: Lines of plans with the level and text of headings, in the oracle's dialect.
+SQL_LF = "replace(replace(plan_text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+SQL_HEADED = f"""lines AS (SELECT plan_id, unnest(generate_series(1, len(l))) AS line_no, unnest(l) AS line FROM (SELECT plan_id, string_split({SQL_LF}, chr(10)) AS l FROM assemble_live_smoke31)),
+ headed AS (SELECT *, length(regexp_extract(line, '{HEADING}', 1)) AS level, CASE WHEN length(regexp_extract(line, '{HEADING}', 1)) > 0 THEN rtrim(regexp_replace(trim(regexp_extract(line, '{HEADING}', 2)), '#+$', '')) END AS heading FROM lines)"""
+SQL_AXIS = "CASE " + " ".join(f"WHEN regexp_matches(lower(head), '{p}') THEN '{n}'" for n, p in AXES) + " END"
+
+
+def sql_plan_queries() -> str:
+    """CTEs up to ``asked`` (query_id, axis, text), the oracle of ``plan_queries``."""
+    white = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    strip = lambda c: f"regexp_replace({c}, '^{white}+|{white}+$', '', 'g')"
+    return f"""{SQL_HEADED},
+ placed AS (SELECT *, last_value(CASE WHEN level > 0 THEN line_no END IGNORE NULLS) OVER (PARTITION BY plan_id ORDER BY line_no) AS part FROM headed),
+ parts AS (SELECT plan_id, part, max(level) AS lvl, max(heading) AS head, {strip("coalesce(string_agg(CASE WHEN level = 0 THEN line END, chr(10) ORDER BY line_no), '')")} AS body FROM placed WHERE part IS NOT NULL GROUP BY 1, 2),
+ judged AS (SELECT *, {SQL_AXIS} AS axis, lvl = 1 AND part = min(part) OVER (PARTITION BY plan_id) AS titled FROM parts),
+ axes AS (SELECT plan_id, axis, {strip("string_agg(text, chr(10) ORDER BY part)")} AS text FROM (SELECT plan_id, 'topic' AS axis, 0 AS part, head AS text FROM judged WHERE titled UNION ALL SELECT plan_id, axis, part, body FROM judged) WHERE axis IS NOT NULL AND text <> '' GROUP BY 1, 2),
+ asked AS (SELECT plan_id AS query_id, axis, text FROM axes WHERE length(text) >= 8 UNION ALL SELECT plan_id, 'full', {strip("plan_text")} FROM assemble_live_smoke31 WHERE {strip("plan_text")} <> '')"""
+
+
 def oracle_sql():
     f = first_sql
     # The oracle's word boundaries know ASCII only, so the neighbours are named.

@@ -10,7 +10,7 @@ from scholia.functions.tokens import token_rows
 from scholia.operators import retrieval, tagging
 from scholia.plans.common import first, first_sql
 from scholia.plans.joins_q import c_section_carried
-from scholia.plans.records_q import SECTION, SQL_TOKENS, plan_queries
+from scholia.plans.records_q import SECTION, SQL_TOKENS, plan_queries, sql_plan_queries
 from scholia.session import cut
 from scholia.sources.tables import table
 
@@ -130,14 +130,16 @@ def queries():
 
 def oracle_sql():
     f = first_sql
-    docs = f("works", "assemble_live_smoke3")[:-1] + f""", d AS (SELECT work_id AS doc_id, {SQL_TOKENS.format("concat_ws(chr(10) || chr(10), title, abstract)")} AS t FROM works1), q AS (SELECT plan_id AS query_id, {SQL_TOKENS.format("regexp_extract(plan_text, '^([^\\r\\n]*)', 1)")} AS t FROM assemble_live_smoke31),
+    docs = f("works", "assemble_live_smoke3")[:-1] + f""", {sql_plan_queries()}, d AS (SELECT work_id AS doc_id, {SQL_TOKENS.format("concat_ws(chr(10) || chr(10), title, abstract)")} AS t FROM works1), q AS (SELECT query_id || chr(1) || axis AS qk, {SQL_TOKENS.format("text")} AS t FROM asked),
     p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS doc_len FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(l) AS a FROM (SELECT doc_id, any_value(doc_len) AS l FROM p GROUP BY 1)),
-    qt AS (SELECT DISTINCT query_id, unnest(t) AS term FROM q), qi AS (SELECT query_id, qt.term, coalesce(df, 0) AS df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN df ON df.term = qt.term, st),
-    bm AS (SELECT query_id, doc_id, round(least(1.0, raw / most), 9) AS score FROM (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / a))) AS raw FROM qi JOIN p ON p.term = qi.term, st GROUP BY 1, 2) JOIN (SELECT query_id, sum(idf) AS most FROM qi GROUP BY 1) USING (query_id)),
-    qf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(t) AS term FROM q) GROUP BY 1, 2),
-    co AS (SELECT query_id, doc_id, round(dot / (sqrt(dn) * sqrt(qn)), 9) AS score FROM (SELECT query_id, doc_id, sum(p.tf * qf.tf) AS dot FROM p JOIN qf ON p.term = qf.term GROUP BY 1, 2) JOIN (SELECT doc_id, sum(tf * tf) AS dn FROM p GROUP BY 1) USING (doc_id) JOIN (SELECT query_id, sum(tf * tf) AS qn FROM qf GROUP BY 1) USING (query_id)) """
-    near = "WITH n AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, q.label AS own, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n QUALIFY rank <= 10) "
+    qt AS (SELECT DISTINCT qk, unnest(t) AS term FROM q), qi AS (SELECT qk, qt.term, coalesce(df, 0) AS df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN df ON df.term = qt.term, st),
+    bmq AS (SELECT qk, doc_id, round(least(1.0, raw / most), 9) AS score FROM (SELECT qk, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / a))) AS raw FROM qi JOIN p ON p.term = qi.term, st GROUP BY 1, 2) JOIN (SELECT qk, sum(idf) AS most FROM qi GROUP BY 1) USING (qk)),
+    qf AS (SELECT qk, term, count(*) AS tf FROM (SELECT qk, unnest(t) AS term FROM q) GROUP BY 1, 2),
+    coq AS (SELECT qk, doc_id, round(dot / (sqrt(dn) * sqrt(qn)), 9) AS score FROM (SELECT qk, doc_id, sum(p.tf * qf.tf) AS dot FROM p JOIN qf ON p.term = qf.term GROUP BY 1, 2) JOIN (SELECT doc_id, sum(tf * tf) AS dn FROM p GROUP BY 1) USING (doc_id) JOIN (SELECT qk, sum(tf * tf) AS qn FROM qf GROUP BY 1) USING (qk)),
+    bm AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, max(score) AS score FROM bmq GROUP BY 1, 2), co AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, max(score) AS score FROM coq GROUP BY 1, 2) """
+    near = "WITH n AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, q.label AS own, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n QUALIFY rank <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n WHERE query_id <> doc_id QUALIFY rank <= 10) "
     top = lambda t, k, s="score", d=6: f"SELECT query_id, rank, doc_id, round({s}, {d}) AS {s} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, doc_id) AS rank FROM {t}) WHERE rank <= {k}"
+    lists = lambda t: f"SELECT qk, doc_id, row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc_id) AS k FROM {t} WHERE score > 0"
     look = r"(?![^.]{0,40}\bnot\b)"
 
     def weight(patterns):
@@ -159,12 +161,12 @@ def oracle_sql():
     return {
         "i_index_statistics": docs + "SELECT n AS n_docs, round(a, 6) AS avg_len, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM p) AS n_postings FROM st",
         "i_bm25": docs + top("bm", 10),
-        "i_term_overlap": docs + ", ov AS (SELECT query_id, doc_id, round(count(*) / any_value(n), 6) AS score FROM (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n FROM qt) x JOIN p USING (term) GROUP BY 1, 2) " + top("ov", 5),
+        "i_term_overlap": docs + ", ov AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, max(score) AS score FROM (SELECT qk, doc_id, round(count(*) / any_value(n), 6) AS score FROM (SELECT qk, term, count(*) OVER (PARTITION BY qk) AS n FROM qt) x JOIN p USING (term) GROUP BY 1, 2) GROUP BY 1, 2) " + top("ov", 5),
         "i_cosine": docs + top("co", 5),
         "i_dense": near + "SELECT query_id, rank, doc_id, round(s, 4) AS score FROM r",
-        "i_dense_labels": near + "SELECT own, count(*) AS n, sum(CAST(label = own AS INT)) AS n_same FROM r GROUP BY 1",
-        "i_hybrid": docs + ", r1 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM bm WHERE score >= 0.05 QUALIFY k <= 100), r2 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM co WHERE score >= 0.05 QUALIFY k <= 100), fu AS (SELECT query_id, doc_id, round(sum(1 / (60.0 + k)), 9) AS fused FROM (FROM r1 UNION ALL FROM r2) GROUP BY 1, 2) " + top("fu", 10, "fused", 8),
-        "i_coverage": docs + "SELECT query_id, round(sum(CASE WHEN df > 0 THEN idf ELSE 0 END) / sum(idf), 6) AS coverage, round(1 - 0.4 * sum(CASE WHEN df > 0 THEN idf ELSE 0 END) / sum(idf), 6) AS alpha FROM qi GROUP BY 1",
+        "i_dense_labels": near + "SELECT own, count(*) AS n, sum(CAST(label = own AS INT)) AS n_same FROM o GROUP BY 1",
+        "i_hybrid": docs + f", fu AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, round(sum(CASE WHEN split_part(qk, chr(1), 2) = 'evaluation' THEN 0.5 ELSE 1.0 END / (60.0 + k)), 9) AS fused FROM ({lists('bmq')} UNION ALL {lists('coq')}) GROUP BY 1, 2) " + top("fu", 10, "fused", 8),
+        "i_coverage": docs + "SELECT split_part(qk, chr(1), 1) AS query_id, split_part(qk, chr(1), 2) AS axis, round(sum(CASE WHEN df > 0 THEN idf ELSE 0 END) / sum(idf), 6) AS coverage, round(1 - 0.4 * sum(CASE WHEN df > 0 THEN idf ELSE 0 END) / sum(idf), 6) AS alpha FROM qi GROUP BY 1, 2",
         "h_rule_tags": tags + "SELECT excerpt_id, risk_code, score, polarity, confidence FROM t",
         "h_rule_tag_counts": tags + "SELECT risk_code, polarity, count(*) AS n, round(sum(confidence), 3) AS sum_confidence FROM t GROUP BY 1, 2",
     }
