@@ -23,15 +23,18 @@ def contained(needles: DataFrame, haystacks: DataFrame, least_chars: int = 20) -
     match nothing.
     """
     n = needles.select("needle_id", squeezed(F.col("text")).alias("needle")).where(F.length("needle") >= least_chars)
-    n = n.withColumn("w", F.split("needle", " ")).withColumn("size", F.least(F.size("w"), F.lit(RUN)))
-    n = n.select("needle_id", "needle", "size", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("size")), " ")).alias("key"))
-    h = haystacks.select("hay_id", squeezed(F.col("text")).alias("hay")).where("hay IS NOT NULL").withColumn("w", F.split("hay", " "))
+    w = n.withColumn("w", F.split("needle", " ")).withColumn("size", F.least(F.size("w"), F.lit(RUN)))
+    first = w.select("needle_id", "size", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("size")), " ")).alias("key"))
+    h = haystacks.select("hay_id", squeezed(F.col("text")).alias("hay")).where("hay IS NOT NULL")
+
     def runs_of(k: int) -> Column:
         """Hashes of all runs of k words; a text of fewer has none."""
         starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i <= F.size("w") - (k - 1))
         return F.transform(starts, lambda i: F.struct(F.lit(k).alias("size"), F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")).alias("key")))
 
     runs = F.flatten(F.array(*[runs_of(k) for k in range(1, RUN + 1)]))
-    keys = h.select("hay_id", "hay", F.explode(F.array_distinct(runs)).alias("r")).select("hay_id", "hay", "r.size", "r.key")
+    keys = h.withColumn("w", F.split("hay", " ")).select("hay_id", F.explode(F.array_distinct(runs)).alias("r")).select("hay_id", "r.size", "r.key")
+    # Only ids meet on runs; the texts are fetched for the pairs that have one in common.
+    pairs = first.join(keys, ["size", "key"]).select("needle_id", "hay_id").distinct()
     hit = F.concat(F.lit(" "), F.col("hay"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))
-    return n.join(keys, ["size", "key"]).where(hit).select("needle_id", "hay_id").distinct()
+    return pairs.join(n, "needle_id").join(h, "hay_id").where(hit).select("needle_id", "hay_id").distinct()

@@ -23,9 +23,19 @@ def allocation(strata: DataFrame, key: str, count: str, total: int) -> DataFrame
 
 
 def stratified(df: DataFrame, id_column: str, key: str, total: int, seed: str) -> DataFrame:
-    """A sample of ``total`` rows by strata: within each, the smallest hashes of seed:id."""
+    """A sample of ``total`` rows by strata: within each, the smallest hashes of seed:id.
+
+    A histogram over the first three signs of the hash says in which of its
+    4,096 cells a stratum's share ends; smaller cells are taken whole and only
+    the rows of that cell are put in order, so no stratum is sorted.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     takes = allocation(counts, key, "n", total).select(key, "take")
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_column)), 256)
-    ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h")))
-    return ranked.join(takes, key).where("_r <= take").drop("_h", "_r", "take")
+    hashed = df.withColumn("_h", h).withColumn("_cell", F.substring("_h", 1, 3))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = hashed.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    cells = cells.join(takes, key).where("_before < take").select(key, "_cell", (F.col("take") - F.col("_before")).alias("_room"), (F.col("_before") + F.col("_n") <= F.col("take")).alias("_whole"))
+    held = hashed.join(cells, [key, "_cell"])
+    edge = held.where(~F.col("_whole")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h"))).where("_r <= _room").drop("_r")
+    return held.where("_whole").unionByName(edge).drop("_h", "_cell", "_room", "_whole")

@@ -15,13 +15,14 @@ def first(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     """The first arrival of each key of a table, with the given columns or all.
 
     The narrow rows (key, arrival) would have to be joined back to wide ones, so
-    one window over the pruned columns is the single shuffle.
+    one window over the pruned columns is the single shuffle. Deliveries of one
+    time that differ are told apart by the hash of their columns.
     """
     key = KEYS[name]
     wanted = list(dict.fromkeys([key, *columns])) if columns else None
     df = table(spark, sf, name)
     src = df.select(*wanted, *([] if "ingested_at" in wanted else ["ingested_at"])) if wanted else df
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col("ingested_at").asc_nulls_last()))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col("ingested_at").asc_nulls_last(), F.xxhash64(*[c for c in src.columns if not c.startswith("_")])))
     out = src.withColumn("_n", n).where("_n = 1").drop("_n")
     return out.select(*wanted) if wanted else out
 

@@ -106,7 +106,7 @@ def a_csv_export(spark, sf):
     """Search results as text for a sheet: four decimals, formulas disarmed."""
     hits = i_bm25(spark, sf).where("rank <= 3")
     w = first(spark, sf, "works", "title").select(F.col("work_id").alias("doc_id"), csv_safe("title").alias("title"))
-    return hits.join(w, "doc_id", "left").select("query_id", F.col("rank").cast("string").alias("rank"), "title", F.round(F.col("score").cast("decimal(10,6)"), 4).cast("decimal(10,4)").cast("string").alias("similarity"))
+    return hits.join(w, "doc_id", "left").select("query_id", F.col("rank").cast("string").alias("rank"), "title", F.round(F.col("score").cast("decimal(12,9)"), 4).cast("decimal(10,4)").cast("string").alias("similarity"))
 
 
 def e_order_violations(spark, sf):
@@ -155,5 +155,5 @@ def oracle_sql():
         "d_hits_at_three": near + "SELECT query_id, round(sum(CAST(label = own AS INT)) / 3, 6) AS precision_at_3, sum(CAST(label = own AS INT)) > 0 AS hit_at_3 FROM o WHERE rank <= 3 GROUP BY 1",
         "h_batches": f("excerpts") + "SELECT source_id, batch, count(*) AS n, max(span_end) AS ends FROM (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY span_start NULLS FIRST, excerpt_id) - 1) // 5 AS batch FROM excerpts1 WHERE source_id IS NOT NULL) GROUP BY 1, 2",
         "n_daily_budget": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING count(*) > 1",
-        "a_csv_export": f"WITH hits AS ({bm25}), w AS (SELECT * FROM works QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ingested_at) = 1) SELECT query_id, CAST(rank AS VARCHAR) AS rank, CASE WHEN regexp_matches(title, '^[=+\\-@\\t\\r]') THEN '''' || title ELSE title END AS title, CAST(CAST(round(CAST(score AS DECIMAL(10,6)), 4) AS DECIMAL(10,4)) AS VARCHAR) AS similarity FROM hits LEFT JOIN w ON w.work_id = doc_id WHERE rank <= 3",
+        "a_csv_export": f"WITH hits AS ({bm25}), w AS (SELECT * FROM works QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ingested_at) = 1) SELECT query_id, CAST(rank AS VARCHAR) AS rank, CASE WHEN regexp_matches(title, '^[=+\\-@\\t\\r]') THEN '''' || title ELSE title END AS title, CAST(CAST(round(CAST(score AS DECIMAL(12,9)), 4) AS DECIMAL(10,4)) AS VARCHAR) AS similarity FROM hits LEFT JOIN w ON w.work_id = doc_id WHERE rank <= 3",
     }

@@ -48,7 +48,7 @@ def _bm25(spark, sf):
 def i_bm25(spark, sf):
     """The ten works that match each plan best, by its full text or one of its axes."""
     s = _best(_bm25(spark, sf).withColumn("score", F.round("score", 9)))
-    return retrieval.top_k(s, "query_id", "score", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.top_k(s, "query_id", "score", "doc_id", 10).select("query_id", "rank", "doc_id", "score")
 
 
 def i_term_overlap(spark, sf):
@@ -63,7 +63,7 @@ def i_term_overlap(spark, sf):
 def i_cosine(spark, sf):
     """Cosine of term counts, the best over a plan's queries; the five best works of each plan."""
     s = _best(retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9)))
-    return retrieval.top_k(s, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.top_k(s, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
 
 
 def _dense(spark, sf, k):
@@ -96,7 +96,7 @@ def i_hybrid(spark, sf):
     lists = retrieval.ranked(a, "query_id", "score", "doc_id").unionByName(retrieval.ranked(c, "query_id", "score", "doc_id"))
     weight = F.when(F.col("query_id.axis") == "evaluation", 0.5).otherwise(1.0)
     both = retrieval.fused(lists.withColumn("weight", weight).withColumn("query_id", F.col("query_id.query_id")), "query_id", "doc_id", weight="weight").withColumn("fused", F.round("fused", 9))
-    return retrieval.top_k(both, "query_id", "fused", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("fused", 8).alias("fused"))
+    return retrieval.top_k(both, "query_id", "fused", "doc_id", 10).select("query_id", "rank", "doc_id", "fused")
 
 
 def i_coverage(spark, sf):
@@ -128,17 +128,23 @@ def queries():
     return {q.__name__: q for q in Q}
 
 
-def oracle_sql():
+def sql_scores() -> str:
+    """CTEs of the plans' queries and their scores against works: bmq and coq by query (qk: plan and axis), bm and co by plan."""
     f = first_sql
-    docs = f("works", "assemble_live_smoke3")[:-1] + f""", {sql_plan_queries()}, d AS (SELECT work_id AS doc_id, {SQL_TOKENS.format("concat_ws(chr(10) || chr(10), title, abstract)")} AS t FROM works1), q AS (SELECT query_id || chr(1) || axis AS qk, {SQL_TOKENS.format("text")} AS t FROM asked),
+    return f("works", "assemble_live_smoke3")[:-1] + f""", {sql_plan_queries()}, d AS (SELECT work_id AS doc_id, {SQL_TOKENS.format("concat_ws(chr(10) || chr(10), title, abstract)")} AS t FROM works1), q AS (SELECT query_id || chr(1) || axis AS qk, {SQL_TOKENS.format("text")} AS t FROM asked),
     p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS doc_len FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(l) AS a FROM (SELECT doc_id, any_value(doc_len) AS l FROM p GROUP BY 1)),
     qt AS (SELECT DISTINCT qk, unnest(t) AS term FROM q), qi AS (SELECT qk, qt.term, coalesce(df, 0) AS df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN df ON df.term = qt.term, st),
     bmq AS (SELECT qk, doc_id, round(least(1.0, raw / most), 9) AS score FROM (SELECT qk, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / a))) AS raw FROM qi JOIN p ON p.term = qi.term, st GROUP BY 1, 2) JOIN (SELECT qk, sum(idf) AS most FROM qi GROUP BY 1) USING (qk)),
     qf AS (SELECT qk, term, count(*) AS tf FROM (SELECT qk, unnest(t) AS term FROM q) GROUP BY 1, 2),
     coq AS (SELECT qk, doc_id, round(dot / (sqrt(dn) * sqrt(qn)), 9) AS score FROM (SELECT qk, doc_id, sum(p.tf * qf.tf) AS dot FROM p JOIN qf ON p.term = qf.term GROUP BY 1, 2) JOIN (SELECT doc_id, sum(tf * tf) AS dn FROM p GROUP BY 1) USING (doc_id) JOIN (SELECT qk, sum(tf * tf) AS qn FROM qf GROUP BY 1) USING (qk)),
     bm AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, max(score) AS score FROM bmq GROUP BY 1, 2), co AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, max(score) AS score FROM coq GROUP BY 1, 2) """
+
+
+def oracle_sql():
+    f = first_sql
+    docs = sql_scores()
     near = "WITH n AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label, q.label AS own, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n QUALIFY rank <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n WHERE query_id <> doc_id QUALIFY rank <= 10) "
-    top = lambda t, k, s="score", d=6: f"SELECT query_id, rank, doc_id, round({s}, {d}) AS {s} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, doc_id) AS rank FROM {t}) WHERE rank <= {k}"
+    top = lambda t, k, s="score": f"SELECT query_id, rank, doc_id, {s} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {s} DESC, doc_id) AS rank FROM {t}) WHERE rank <= {k}"
     lists = lambda t: f"SELECT qk, doc_id, row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc_id) AS k FROM {t} WHERE score > 0"
     look = r"(?![^.]{0,40}\bnot\b)"
 
@@ -165,7 +171,7 @@ def oracle_sql():
         "i_cosine": docs + top("co", 5),
         "i_dense": near + "SELECT query_id, rank, doc_id, round(s, 4) AS score FROM r",
         "i_dense_labels": near + "SELECT own, count(*) AS n, sum(CAST(label = own AS INT)) AS n_same FROM o GROUP BY 1",
-        "i_hybrid": docs + f", fu AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, round(sum(CASE WHEN split_part(qk, chr(1), 2) = 'evaluation' THEN 0.5 ELSE 1.0 END / (60.0 + k)), 9) AS fused FROM ({lists('bmq')} UNION ALL {lists('coq')}) GROUP BY 1, 2) " + top("fu", 10, "fused", 8),
+        "i_hybrid": docs + f", fu AS (SELECT split_part(qk, chr(1), 1) AS query_id, doc_id, round(sum(CASE WHEN split_part(qk, chr(1), 2) = 'evaluation' THEN 0.5 ELSE 1.0 END / (60.0 + k)), 9) AS fused FROM ({lists('bmq')} UNION ALL {lists('coq')}) GROUP BY 1, 2) " + top("fu", 10, "fused"),
         "i_coverage": docs + "SELECT split_part(qk, chr(1), 1) AS query_id, split_part(qk, chr(1), 2) AS axis, round(sum(CASE WHEN df > 0 THEN idf ELSE 0 END) / sum(idf), 6) AS coverage, round(1 - 0.4 * sum(CASE WHEN df > 0 THEN idf ELSE 0 END) / sum(idf), 6) AS alpha FROM qi GROUP BY 1, 2",
         "h_rule_tags": tags + "SELECT excerpt_id, risk_code, score, polarity, confidence FROM t",
         "h_rule_tag_counts": tags + "SELECT risk_code, polarity, count(*) AS n, round(sum(confidence), 3) AS sum_confidence FROM t GROUP BY 1, 2",

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
-from scholia.session import shared_dir
+from scholia.session import cut, scratch
 from scholia.sources.tables import table
 from scholia.streaming import windows as S
 
@@ -33,8 +30,9 @@ def n_sessions(spark, sf):
 def n_tumbling_stream(spark, sf):
     """The tumbling windows computed by a stream over the same files."""
     src = S.stream_of(spark, sf, table(spark, sf, "events").schema, "events.parquet").select(*FIELDS).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"n_{uuid.uuid4().hex}"
-    return S.run_to_end(S.tumbling(src), name, os.path.join(shared_dir(spark), name)).withColumn("started", F.col("started").cast("timestamp_ntz"))
+    with scratch(spark) as folder:
+        found = cut(S.run_to_end(S.tumbling(src), f"{folder}/out", f"{folder}/checkpoint"))
+    return found.withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
 def n_limiter(spark, sf):

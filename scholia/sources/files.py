@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
-import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -55,15 +53,22 @@ def csv_table(spark: SparkSession, path: str, required: list[str], dropped: list
     return df.drop(*dropped)
 
 
+def members_of(contents: pd.Series, pattern: str) -> pd.DataFrame:
+    """(member, content) of the members of ZIP files, given as bytes, whose names match."""
+    rows = []
+    for content in contents:
+        with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+            rows += [(m, z.read(m).decode("utf-8", "replace")) for m in sorted(z.namelist()) if re.search(pattern, m)]
+    return pd.DataFrame(rows, columns=["member", "content"])
+
+
 def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(file, member, content) of the members of ZIP files whose names match; a ZIP is read by one task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in sorted(z.namelist()):
-                        if re.search(pattern, m):
-                            yield pd.DataFrame({"file": [file], "member": [m], "content": [z.read(m).decode("utf-8", "replace")]})
+                found = members_of(pd.Series([content]), pattern)
+                yield found.assign(file=file)[["file", "member", "content"]]
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, member string, content string")
 
@@ -90,41 +95,37 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decode("content").alias("text"))
 
 
-def write_with_manifest(df: DataFrame, folder: str, keys: list[str], partitions: int | None = None) -> dict:
-    """Parquet sorted by key within files, and a manifest, written last, with the rows and each file's size and hash.
+def _hashed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(file, bytes, sha256) of a folder's files, hashed by the executors."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_with_manifest(df: DataFrame, folder: str, keys: list[str], partitions: int | None = None, kind: str = "parquet") -> dict:
+    """Parquet or JSON lines sorted by key within files, and a manifest, written last, with the rows and each file's size and hash.
 
-    The folder is one that the driver can read (the manifest hashes its files).
+    The manifest is a row of JSON text in the folder's ``_manifest``; readers of
+    the data pass over it. A folder without one was not written to its end.
     """
     out = df.repartitionByRange(partitions, *keys) if partitions else df
-    out.sortWithinPartitions(*keys).write.mode("overwrite").parquet(folder)
-    files = []
-    for name in sorted(os.listdir(folder)):
-        if name.endswith(".parquet"):
-            digest = hashlib.sha256()
-            with open(os.path.join(folder, name), "rb") as f:
-                for chunk in iter(lambda: f.read(1 << 20), b""):
-                    digest.update(chunk)
-            files.append({"file": name, "bytes": os.path.getsize(os.path.join(folder, name)), "sha256": digest.hexdigest()})
-    manifest = {"rows": df.sparkSession.read.parquet(folder).count(), "columns": df.columns, "files": files}
-    temporary = os.path.join(folder, "_manifest.tmp")
-    with open(temporary, "w") as f:
-        json.dump(manifest, f, ensure_ascii=False, sort_keys=True)
-    os.replace(temporary, os.path.join(folder, "_manifest.json"))
+    out.sortWithinPartitions(*keys).write.mode("overwrite").format(kind).save(folder)
+    spark = df.sparkSession
+    files = [r.asDict() for r in _hashed(spark, folder, f"*.{kind}").orderBy("file").collect()]  # a row per file
+    manifest = {"rows": spark.read.format(kind).schema(df.schema).load(folder).count(), "columns": df.columns, "files": files}
+    text = json.dumps(manifest, ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_manifest")
     return manifest
 
 
-def read_checked(spark: SparkSession, folder: str) -> DataFrame:
+def read_checked(spark: SparkSession, folder: str, kind: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """A folder written with a manifest; refused where a file is missing or its hash differs."""
-    with open(os.path.join(folder, "_manifest.json")) as f:
-        manifest = json.load(f)
+    manifest = json.loads(spark.read.text(f"{folder}/_manifest").first()[0])
+    held = {r["file"]: r["sha256"] for r in _hashed(spark, folder, f"*.{kind}").collect()}
     for x in manifest["files"]:
-        digest = hashlib.sha256()
-        with open(os.path.join(folder, x["file"]), "rb") as f:
-            for chunk in iter(lambda: f.read(1 << 20), b""):
-                digest.update(chunk)
-        if digest.hexdigest() != x["sha256"]:
+        if held.get(x["file"]) != x["sha256"]:
             raise ValueError(f"{x['file']} is not the file of the manifest")
-    return spark.read.parquet(folder)
+    reader = spark.read.format(kind)
+    return (reader.schema(schema) if schema else reader).load(folder)
 
 
 def csv_safe(c: Column | str) -> Column:

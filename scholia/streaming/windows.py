@@ -78,25 +78,42 @@ def limiter(events: DataFrame, limit: int, span: float) -> DataFrame:
     return src.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, LIMITED)
 
 
-def limiter_stream(events: DataFrame, limit: int, span: float) -> DataFrame:
-    """The limiter over a stream: the admitted times of each key are its state, kept while they matter."""
+def limiter_stream(events: DataFrame, limit: int, span: float, late: str = "1 hour") -> DataFrame:
+    """The limiter over a stream: the admitted times of each key are its state, kept while they matter.
+
+    Events that are older than the newest by more than ``late`` are dropped by the
+    watermark; a key's state goes once the watermark has passed its last
+    admitted time by ``span`` seconds.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held: list[float] = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         ok, held = admitted_times(held, [t.timestamp() for t in rows["ts"]], limit, span)
         state.update((held,))
+        state.setTimeoutTimestamp(max(int((max(held, default=0.0) + span) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows.assign(admitted=ok)[["event_id", "user_id", "ts", "admitted"]]
 
-    src = events.select("event_id", "user_id", "ts")
-    return src.groupBy("user_id").applyInPandasWithState(step, LIMITED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    src = events.select("event_id", "user_id", "ts").withWatermark("ts", late)
+    return src.groupBy("user_id").applyInPandasWithState(step, LIMITED, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_to_end(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """A bounded stream run until all that is there is read; its result as Parquet files in ``folder``.
+
+    Each batch is written under its number, so one that is run again after a
+    failure replaces itself; in complete mode the last batch is the result.
+    """
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number if mode != 'complete' else 0}")
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """A bounded stream run until all that is there is read; its result as a table in memory (small results only)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch=*")
 
 
 def stream_of(spark: SparkSession, folder: str, schema: Any, pattern: str = "*.parquet", files: int = 1) -> DataFrame:

@@ -112,7 +112,7 @@ def test_limiter_batch_and_stream_agree_with_a_plain_loop(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp")
     assert {x.event_id for x in W.limiter(df, 3, 600).where("admitted").collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = W.run_to_end(W.limiter_stream(W.stream_of(spark, str(tmp_path / "in"), df.schema), 3, 600), "limited_test", str(tmp_path / "cp"), "append")
+    out = W.run_to_end(W.limiter_stream(W.stream_of(spark, str(tmp_path / "in"), df.schema), 3, 600), str(tmp_path / "limited"), str(tmp_path / "cp"), "append")
     assert {x.event_id for x in out.where("admitted").collect()} == want
 
 
@@ -129,7 +129,7 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
         part.rename(tmp_path / "in" / f"{n}.parquet")
         os.utime(tmp_path / "in" / f"{n}.parquet", (time.time() - 100 + n, time.time() - 100 + n))
     src = W.stream_of(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
-    out = W.run_to_end(W.tumbling(src), "late_test", str(tmp_path / "cp"), "append")
+    out = W.run_to_end(W.tumbling(src), str(tmp_path / "late"), str(tmp_path / "cp"), "append")
     assert [(r.n) for r in out.where("started = timestamp'2025-01-01'").collect()] == [2]
 
 
