@@ -83,6 +83,74 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
     return top_k(pairs, "query_id", "score", "doc_id", k)
 
 
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, block_docs: int = 100_000, block_queries: int = 1_000) -> DataFrame:
+    """(query_id, doc_id, score): exact sums of query weight times document weight over shared terms, the k best per query with a positive score.
+
+    ``docs`` (doc_id, term, w) and ``queries`` (query_id, term, w) have one row
+    per distinct term and string ids. Both are cut into blocks; in each pair of
+    blocks the scores of a query are one vector over the block's documents, to
+    which the postings of its terms are added, so pairs of a query and a document
+    exist only there: what is shuffled after it is k rows per query and block.
+    Scores are rounded to nine decimals, ties go to the smaller doc_id.
+    """
+    n, m = docs.select("doc_id").distinct().count(), queries.select("query_id").distinct().count()
+    nb, mb = max(1, -(-n // block_docs)), max(1, -(-m // block_queries))
+    each = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    block = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
+    known = docs.select("term").distinct()
+    d = docs.join(queries.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "w", block("doc_id", nb).alias("vb"), each(mb).alias("qb"))
+    q = queries.join(known, "term", "left_semi").select("query_id", "term", "w", block("query_id", mb).alias("qb"), each(nb).alias("vb"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        ids, doc = np.unique(left["doc_id"].to_numpy(), return_inverse=True)
+        terms, term = np.unique(left["term"].to_numpy(), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        doc, weight = doc[order], left["w"].to_numpy(np.float64)[order]
+        ends = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        place = {t: i for i, t in enumerate(terms)}
+        out = []
+        for query, rows in right.groupby("query_id", sort=False):
+            score = np.zeros(len(ids))
+            for t, w in zip(rows["term"], rows["w"]):
+                if (i := place.get(t)) is not None:
+                    score[doc[ends[i] : ends[i + 1]]] += w * weight[ends[i] : ends[i + 1]]
+            score = np.round(score, 9)
+            held = np.flatnonzero(score > 0)
+            if len(held) > k:
+                least = np.partition(score[held], len(held) - k)[len(held) - k]
+                held = held[score[held] >= least]
+                held = held[np.lexsort((held, -score[held]))[:k]]
+            out.append(pd.DataFrame({"query_id": query, "doc_id": ids[held], "score": score[held]}))
+        return pd.concat(out)
+
+    pairs = d.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(run, "query_id string, doc_id string, score double")
+    return top_k(pairs.withColumn("score", F.round("score", 9)), "query_id", "score", "doc_id", k)
+
+
+def bm25_weights(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: float) -> tuple[DataFrame, DataFrame]:
+    """The BM25 score as weights: of terms in documents, and of terms in queries over the greatest score that the query could have."""
+    q = token_rows(queries, "query_id", "text").distinct()
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = q.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    held = held.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    most = held.groupBy("query_id").agg(F.sum("idf").alias("most"))
+    asked = held.where("df > 0").join(most, "query_id").select("query_id", "term", F.when(F.col("most") > 0, F.col("idf") / F.col("most")).otherwise(0.0).alias("w"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len)))
+    return posts.select("doc_id", "term", part.alias("w")), asked
+
+
+def cosine_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cosine of term counts as weights: counts over the length of their vector."""
+    def weighed(df: DataFrame, key: str) -> DataFrame:
+        tf = token_rows(df, key, "text").groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        norm = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+        return tf.join(norm, key).select(key, "term", (F.col("tf") / F.col("norm")).alias("w"))
+
+    return weighed(docs, "doc_id"), weighed(queries, "query_id")
+
+
 def fused(ranked: DataFrame, key: str, doc: str, rank: str = "rank", weight: str | None = None, k: float = 60.0) -> DataFrame:
     """Reciprocal rank fusion: the sum of weight / (k + rank) over the lists of a key."""
     w = F.col(weight) if weight else F.lit(1.0)

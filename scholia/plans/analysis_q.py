@@ -23,6 +23,11 @@ GRID = [(i, pol, conf, n) for i, (pol, conf, n) in enumerate((p, c, n) for p in
 MAIL = R.EMAIL
 
 
+def _edged(pattern):
+    """A pattern whose word edges are those of ASCII words, as in the oracle: an ending in another script does not hide one."""
+    return pattern.replace(r"\b", r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))")
+
+
 def _severity(code):
     return F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[code]
 
@@ -261,8 +266,8 @@ PLACEHOLDER = r"\[[A-Z]{2,}\]"
 def h_citations(spark, sf):
     """Works cited by first author and year in reviews."""
     r = first(spark, sf, "reviews", "text")
-    each = r.select("review_id", F.explode(F.regexp_extract_all("text", F.lit(f"({CITED})"), F.lit(1))).alias("c"))
-    return each.groupBy(F.regexp_extract("c", CITED, 1).alias("author"), F.regexp_extract("c", CITED, 2).alias("year")).agg(_count(), F.count_distinct("review_id").alias("n_reviews"))
+    each = r.select("review_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_edged(CITED)})"), F.lit(1))).alias("c"))
+    return each.groupBy(F.regexp_extract("c", _edged(CITED), 1).alias("author"), F.regexp_extract("c", _edged(CITED), 2).alias("year")).agg(_count(), F.count_distinct("review_id").alias("n_reviews"))
 
 
 def h_placeholders(spark, sf):
@@ -291,7 +296,7 @@ SECRET, PATHS = r"\b[0-9a-f]{32,}\b", r"(^|[ (\"'])/(?:[A-Za-z0-9_.-]+/)+[A-Za-z
 
 def b_safe_text(spark, sf):
     """Reviews of which paths and long keys are cut out: how many changed."""
-    t = F.regexp_replace(F.regexp_replace("text", PATHS, "$1[PATH]"), SECRET, "[KEY]")
+    t = F.regexp_replace(F.regexp_replace("text", PATHS, "$1[PATH]"), _edged(SECRET), "[KEY]")
     return first(spark, sf, "reviews", "text").where("text IS NOT NULL").agg(_count(), F.sum((t != F.col("text")).cast("int")).alias("n_changed"), F.sum(F.length(t)).alias("n_chars"))
 
 
@@ -300,7 +305,7 @@ RESEARCH = r"(?i)\b(?:research|method|data|dataset|experiment|evaluation|hypothe
 
 def b_research_like(spark, sf):
     """Plans with four words of research at least."""
-    k = F.regexp_count("plan_text", F.lit(RESEARCH))
+    k = F.regexp_count("plan_text", F.lit(_edged(RESEARCH)))
     return first(spark, sf, "assemble_live_smoke3", "plan_text").where("plan_text IS NOT NULL").select("plan_id", k.alias("n_words"), (k >= 4).alias("like_research"))
 
 
@@ -337,8 +342,8 @@ def b_topics(spark, sf):
     title, whole = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.concat_ws("\n", "title", "abstract"))
     rows = []
     for topic, words in TOPICS.items():
-        hits = reduce(lambda a, b: a + b, [whole.rlike(_word(x)).cast("int") for x in words])
-        head = reduce(lambda a, b: a | b, [title.rlike(_word(x)) for x in words])
+        hits = reduce(lambda a, b: a + b, [whole.rlike(_edged(_word(x))).cast("int") for x in words])
+        head = reduce(lambda a, b: a | b, [title.rlike(_edged(_word(x))) for x in words])
         rows.append(F.struct(F.lit(topic).alias("topic"), F.when(head, "title").when(hits >= 2, "several").when(hits == 1, "one").otherwise("none").alias("strength")))
     return w.select(F.explode(F.array(*rows)).alias("t")).groupBy("t.topic", "t.strength").agg(_count("n_works"))
 
@@ -346,8 +351,8 @@ def b_topics(spark, sf):
 def b_masked_numbers(spark, sf):
     """Reviews with resident numbers and then phone numbers of one country masked: how many of each."""
     rrn, phone = r"\b[0-9]{6}-[1-8][0-9]{6}\b", r"\b01[016789][ -]?[0-9]{3,4}[ -]?[0-9]{4}\b"
-    t = F.regexp_replace("text", rrn, "[ID]")
-    return first(spark, sf, "reviews", "text").where("text IS NOT NULL").agg(F.sum(F.regexp_count("text", F.lit(rrn))).alias("n_ids"), F.sum(F.regexp_count(t, F.lit(phone))).alias("n_phones"))
+    t = F.regexp_replace("text", _edged(rrn), "[ID]")
+    return first(spark, sf, "reviews", "text").where("text IS NOT NULL").agg(F.sum(F.regexp_count("text", F.lit(_edged(rrn)))).alias("n_ids"), F.sum(F.regexp_count(t, F.lit(_edged(phone)))).alias("n_phones"))
 
 
 Q = (

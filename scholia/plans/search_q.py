@@ -25,11 +25,6 @@ def _asked(spark, sf):
     return plan_queries(spark, sf).select(F.struct("query_id", "axis").alias("query_id"), "text")
 
 
-def _best(scores):
-    """A work's score for a plan: its best over the plan's queries."""
-    return scores.groupBy(F.col("query_id.query_id").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
-
-
 def i_index_statistics(spark, sf):
     """Of the index of works: documents, distinct terms, postings and mean length."""
     posts = retrieval.postings(_works(spark, sf), "doc_id", "text")
@@ -45,25 +40,41 @@ def _bm25(spark, sf):
     return retrieval.bm25_scores(posts, _asked(spark, sf), stats.docs, stats.avg or 1.0)
 
 
+def _named(asked):
+    """Queries under one text: the plan's id and the axis."""
+    return asked.select(F.concat_ws("\u0001", "query_id.query_id", "query_id.axis").alias("query_id"), "text")
+
+
+def _plan_top(found, k):
+    """The k best works of each plan out of the k best of each of its queries: a work's score is its best."""
+    s = found.groupBy(F.split("query_id", "\u0001")[0].alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
+    return retrieval.top_k(s, "query_id", "score", "doc_id", k).select("query_id", "rank", "doc_id", "score")
+
+
 def i_bm25(spark, sf):
     """The ten works that match each plan best, by its full text or one of its axes."""
-    s = _best(_bm25(spark, sf).withColumn("score", F.round("score", 9)))
-    return retrieval.top_k(s, "query_id", "score", "doc_id", 10).select("query_id", "rank", "doc_id", "score")
+    posts = cut(retrieval.postings(_works(spark, sf), "doc_id", "text"))
+    # Two numbers of the corpus come to the driver.
+    stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg")).first()
+    docs, asked = retrieval.bm25_weights(posts, _named(_asked(spark, sf)), stats.docs, stats.avg or 1.0)
+    found = retrieval.sparse_top_k(docs, cut(asked), 10)
+    return _plan_top(found.withColumn("score", F.least(F.lit(1.0), "score")), 10)
 
 
 def i_term_overlap(spark, sf):
     """Share of a query's distinct terms that a work has, the best over a plan's queries; the five best of each plan."""
-    d = token_rows(_works(spark, sf), "doc_id", "text").distinct()
-    q = token_rows(_asked(spark, sf), "query_id", "text").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    hit = q.join(d, "term")
-    s = hit.groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("score"))
-    return retrieval.top_k(_best(s), "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
+    d = token_rows(_works(spark, sf), "doc_id", "text").distinct().withColumn("w", F.lit(1.0))
+    q = token_rows(_named(_asked(spark, sf)), "query_id", "text").distinct()
+    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = q.join(n, "query_id").select("query_id", "term", (1 / F.col("n")).alias("w"))
+    found = retrieval.sparse_top_k(cut(d), cut(asked), 5)
+    return _plan_top(found.withColumn("score", F.round("score", 6)), 5)
 
 
 def i_cosine(spark, sf):
     """Cosine of term counts, the best over a plan's queries; the five best works of each plan."""
-    s = _best(retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9)))
-    return retrieval.top_k(s, "query_id", "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
+    docs, asked = retrieval.cosine_weights(_works(spark, sf), _named(_asked(spark, sf)))
+    return _plan_top(retrieval.sparse_top_k(cut(docs), cut(asked), 5), 5)
 
 
 def _dense(spark, sf, k):
