@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,20 +109,15 @@ def a_csv_export(spark, sf):
 def e_order_violations(spark, sf):
     """Edits of a revision whose line breaks the order: outside a longest run that does not fall."""
     r = first(spark, sf, "revision", "edits").where("size(edits) > 1")
+    lines = F.filter(F.transform("edits", lambda e: e["plan_line"]), lambda x: x.isNotNull())
 
-    @F.pandas_udf("int")
-    def outside(lines: pd.Series) -> pd.Series:
-        def one(xs):
-            tails: list = []
-            kept = [x for x in xs if x == x and x is not None]
-            for x in kept:
-                at = bisect.bisect_right(tails, x)
-                tails[at : at + 1] = [x]
-            return len(kept) - len(tails)
-
-        return lines.map(one)
+    def longer(tails, x):
+        """The least ends of runs of each length, after one more line."""
+        at = F.size(F.filter(tails, lambda t: t <= x))
+        return F.concat(F.slice(tails, F.lit(1), at), F.array(x), F.slice(tails, at + 2, F.size(tails)))
 
-    return r.select("revision_id", outside(F.transform("edits", lambda e: e["plan_line"])).alias("n_violations")).where("n_violations > 0")
+    kept = F.size(F.aggregate("lines", F.array().cast("array<int>"), longer))
+    return r.select("revision_id", lines.alias("lines")).select("revision_id", (F.size("lines") - kept).alias("n_violations")).where("n_violations > 0")
 
 
 Q = (h_references, h_quantities, h_quotes, b_unsupported_numbers, c_text_contained, d_field_lift, d_hits_at_three, h_batches, n_daily_budget, a_csv_export, e_order_violations)
@@ -154,6 +146,7 @@ def oracle_sql():
         "d_field_lift": f("decisions", "works")[:-1] + f", o AS (SELECT work_id, max(CAST(o IN ('reject', 'desk_reject') AS INT)) AS bad FROM (SELECT work_id, {_rules(2)} AS o FROM decisions1 WHERE outcome_raw IS NOT NULL AND work_id IS NOT NULL) WHERE o <> 'unknown' GROUP BY 1), w AS (SELECT bad, fields FROM works1 JOIN o USING (work_id)), b AS (SELECT round(avg(bad), 4) AS base FROM w) SELECT field, n_works, share, round(share / nullif(base, 0), 3) AS lift FROM (SELECT field, count(*) AS n_works, round(avg(bad), 4) AS share FROM (SELECT bad, unnest(list_distinct(fields)) AS field FROM w) GROUP BY 1), b",
         "d_hits_at_three": near + "SELECT query_id, round(sum(CAST(label = own AS INT)) / 3, 6) AS precision_at_3, sum(CAST(label = own AS INT)) > 0 AS hit_at_3 FROM o WHERE rank <= 3 GROUP BY 1",
         "h_batches": f("excerpts") + "SELECT source_id, batch, count(*) AS n, max(span_end) AS ends FROM (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY span_start NULLS FIRST, excerpt_id) - 1) // 5 AS batch FROM excerpts1 WHERE source_id IS NOT NULL) GROUP BY 1, 2",
+        "e_order_violations": "WITH RECURSIVE revision1 AS (SELECT * FROM revision QUALIFY row_number() OVER (PARTITION BY revision_id ORDER BY ingested_at) = 1), l AS (SELECT revision_id, list_filter(list_transform(edits, lambda e: e.plan_line), lambda x: x IS NOT NULL) AS lines FROM revision1 WHERE len(edits) > 1), r AS (SELECT revision_id, lines, 0 AS i, CAST([] AS INT[]) AS tails FROM l UNION ALL SELECT revision_id, lines, i + 1, list_concat(list_concat(tails[1:p], [lines[i + 1]]), tails[p + 2:]) FROM (SELECT *, len(list_filter(tails, lambda t: t <= lines[i + 1])) AS p FROM r WHERE i < len(lines))) SELECT revision_id, len(lines) - len(tails) AS n_violations FROM r WHERE i = len(lines) AND len(lines) > len(tails)",
         "n_daily_budget": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING count(*) > 1",
         "a_csv_export": f"WITH hits AS ({bm25}), w AS (SELECT * FROM works QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ingested_at) = 1) SELECT query_id, CAST(rank AS VARCHAR) AS rank, CASE WHEN regexp_matches(title, '^[=+\\-@\\t\\r]') THEN '''' || title ELSE title END AS title, CAST(CAST(round(CAST(score AS DECIMAL(12,9)), 4) AS DECIMAL(10,4)) AS VARCHAR) AS similarity FROM hits LEFT JOIN w ON w.work_id = doc_id WHERE rank <= 3",
     }
