@@ -101,19 +101,22 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, block_docs: int =
     d = docs.join(queries.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "w", block("doc_id", nb).alias("vb"), each(mb).alias("qb"))
     q = queries.join(known, "term", "left_semi").select("query_id", "term", "w", block("query_id", mb).alias("qb"), each(nb).alias("vb"))
 
+    def rows(names: list, found: list, scores: list) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": pd.Series(names, dtype=object), "doc_id": pd.Series(found, dtype=object), "score": pd.Series(scores, dtype="float64")})
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        ids, doc = np.unique(left["doc_id"].to_numpy(), return_inverse=True)
-        terms, term = np.unique(left["term"].to_numpy(), return_inverse=True)
+            return rows([], [], [])
+        ids, doc = np.unique(left["doc_id"].to_numpy(object), return_inverse=True)
+        terms, term = np.unique(left["term"].to_numpy(object), return_inverse=True)
         order = np.argsort(term, kind="stable")
         doc, weight = doc[order], left["w"].to_numpy(np.float64)[order]
         ends = np.searchsorted(term[order], np.arange(len(terms) + 1))
         place = {t: i for i, t in enumerate(terms)}
-        out = []
-        for query, rows in right.groupby("query_id", sort=False):
+        names, found, scores = [], [], []
+        for query, own in right.groupby("query_id", sort=False):
             score = np.zeros(len(ids))
-            for t, w in zip(rows["term"], rows["w"]):
+            for t, w in zip(own["term"], own["w"]):
                 if (i := place.get(t)) is not None:
                     score[doc[ends[i] : ends[i + 1]]] += w * weight[ends[i] : ends[i + 1]]
             score = np.round(score, 9)
@@ -122,8 +125,10 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, block_docs: int =
                 least = np.partition(score[held], len(held) - k)[len(held) - k]
                 held = held[score[held] >= least]
                 held = held[np.lexsort((held, -score[held]))[:k]]
-            out.append(pd.DataFrame({"query_id": query, "doc_id": ids[held], "score": score[held]}))
-        return pd.concat(out)
+            names += [query] * len(held)
+            found += ids[held].tolist()
+            scores += score[held].tolist()
+        return rows(names, found, scores)
 
     pairs = d.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(run, "query_id string, doc_id string, score double")
     return top_k(pairs.withColumn("score", F.round("score", 9)), "query_id", "score", "doc_id", k)
