@@ -83,23 +83,28 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
     return top_k(pairs, "query_id", "score", "doc_id", k)
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, block_docs: int = 100_000, block_queries: int = 1_000) -> DataFrame:
-    """(query_id, doc_id, score): exact sums of query weight times document weight over shared terms, the k best per query with a positive score.
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, terms, weights): one row per key out of rows of ``key``, ``term`` and ``w``; terms by their 64-bit hash."""
+    return rows.groupBy(key).agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("w").alias("weights"))
+
 
-    ``docs`` (doc_id, term, w) and ``queries`` (query_id, term, w) have one row
-    per distinct term and string ids. Both are cut into blocks; in each pair of
-    blocks the scores of a query are one vector over the block's documents, to
-    which the postings of its terms are added, so pairs of a query and a document
-    exist only there: what is shuffled after it is k rows per query and block.
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, block_docs: int = 100_000, block_queries: int = 1_000) -> DataFrame:
+    """(query_id, doc_id, score): sums of query weight times document weight over shared terms, the k best per query with a positive score.
+
+    ``docs`` (doc_id, terms, weights) and ``queries`` (query_id, terms, weights)
+    are ``packed``: one row with its distinct terms each, null weights in neither. Both
+    are cut into blocks; in each pair of blocks the scores of a query are one
+    vector over the block's documents, to which the postings of its terms are
+    added, so pairs of a query and a document exist only there: what is shuffled
+    after it is k rows per query and block. Terms meet by their 64-bit hash.
     Scores are rounded to nine decimals, ties go to the smaller doc_id.
     """
-    n, m = docs.select("doc_id").distinct().count(), queries.select("query_id").distinct().count()
+    n, m = docs.count(), queries.count()
     nb, mb = max(1, -(-n // block_docs)), max(1, -(-m // block_queries))
     each = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     block = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
-    known = docs.select("term").distinct()
-    d = docs.join(queries.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "w", block("doc_id", nb).alias("vb"), each(mb).alias("qb"))
-    q = queries.join(known, "term", "left_semi").select("query_id", "term", "w", block("query_id", mb).alias("qb"), each(nb).alias("vb"))
+    d = docs.select("doc_id", "terms", "weights", block("doc_id", nb).alias("vb"), each(mb).alias("qb"))
+    q = queries.select("query_id", "terms", "weights", block("query_id", mb).alias("qb"), each(nb).alias("vb"))
 
     def rows(names: list, found: list, scores: list) -> pd.DataFrame:
         return pd.DataFrame({"query_id": pd.Series(names, dtype=object), "doc_id": pd.Series(found, dtype=object), "score": pd.Series(scores, dtype="float64")})
@@ -107,18 +112,19 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, block_docs: int =
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return rows([], [], [])
-        ids, doc = np.unique(left["doc_id"].to_numpy(object), return_inverse=True)
-        terms, term = np.unique(left["term"].to_numpy(object), return_inverse=True)
+        left = left.sort_values("doc_id", ignore_index=True)
+        ids = left["doc_id"].to_numpy(object)
+        doc = np.repeat(np.arange(len(ids)), [len(t) for t in left["terms"]])
+        term, weight = np.concatenate(left["terms"].to_list()), np.concatenate(left["weights"].to_list()).astype(np.float64)
         order = np.argsort(term, kind="stable")
-        doc, weight = doc[order], left["w"].to_numpy(np.float64)[order]
-        ends = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        place = {t: i for i, t in enumerate(terms)}
+        doc, weight, term = doc[order], weight[order], term[order]
         names, found, scores = [], [], []
-        for query, own in right.groupby("query_id", sort=False):
+        for query, terms, weights in zip(right["query_id"], right["terms"], right["weights"]):
             score = np.zeros(len(ids))
-            for t, w in zip(own["term"], own["w"]):
-                if (i := place.get(t)) is not None:
-                    score[doc[ends[i] : ends[i + 1]]] += w * weight[ends[i] : ends[i + 1]]
+            lo, hi = np.searchsorted(term, terms, "left"), np.searchsorted(term, terms, "right")
+            for a, b, w in zip(lo, hi, weights):
+                if a < b:
+                    score[doc[a:b]] += w * weight[a:b]
             score = np.round(score, 9)
             held = np.flatnonzero(score > 0)
             if len(held) > k:
@@ -139,11 +145,12 @@ def bm25_weights(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: flo
     q = token_rows(queries, "query_id", "text").distinct()
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     held = q.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    held = held.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    most = held.groupBy("query_id").agg(F.sum("idf").alias("most"))
-    asked = held.where("df > 0").join(most, "query_id").select("query_id", "term", F.when(F.col("most") > 0, F.col("idf") / F.col("most")).otherwise(0.0).alias("w"))
+    held = held.withColumn("w", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # Over the sum of the weights, which is the greatest score that a query could have.
+    asked = packed(held, "query_id").withColumn("most", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x))
+    asked = asked.select("query_id", "terms", F.transform("weights", lambda x: F.when(F.col("most") > 0, x / F.col("most")).otherwise(0.0)).alias("weights"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len)))
-    return posts.select("doc_id", "term", part.alias("w")), asked
+    return packed(posts.select("doc_id", "term", part.alias("w")), "doc_id"), asked
 
 
 def cosine_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +158,7 @@ def cosine_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, Data
     def weighed(df: DataFrame, key: str) -> DataFrame:
         tf = token_rows(df, key, "text").groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
         norm = tf.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-        return tf.join(norm, key).select(key, "term", (F.col("tf") / F.col("norm")).alias("w"))
+        return packed(tf.join(norm, key).select(key, "term", (F.col("tf") / F.col("norm")).alias("w")), key)
 
     return weighed(docs, "doc_id"), weighed(queries, "query_id")
 

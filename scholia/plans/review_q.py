@@ -170,7 +170,7 @@ def i_leak_probe(spark, sf):
     stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg")).first()
     asked = first(spark, sf, "works", "title").where("title IS NOT NULL").select(F.col("work_id").alias("query_id"), F.col("title").alias("text"))
     docs, q = retrieval.bm25_weights(posts, asked, stats.docs, stats.avg or 1.0)
-    hits = cut(retrieval.sparse_top_k(docs, cut(q), 3).select("query_id", "doc_id"))
+    hits = cut(retrieval.sparse_top_k(cut(docs), cut(q), 3).select("query_id", "doc_id"))
     k = _same_keys(spark, sf)
     mine = hits.join(k.select(F.col("work_id").alias("query_id"), "value"), "query_id")
     known = mine.join(k.select(F.col("work_id").alias("doc_id"), "value"), ["doc_id", "value"], "left_semi").select("query_id", "doc_id").distinct().withColumn("same", F.lit(True))

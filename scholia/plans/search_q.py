@@ -57,7 +57,7 @@ def i_bm25(spark, sf):
     # Two numbers of the corpus come to the driver.
     stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg")).first()
     docs, asked = retrieval.bm25_weights(posts, _named(_asked(spark, sf)), stats.docs, stats.avg or 1.0)
-    found = retrieval.sparse_top_k(docs, cut(asked), 10)
+    found = retrieval.sparse_top_k(cut(docs), cut(asked), 10)
     return _plan_top(found.withColumn("score", F.least(F.lit(1.0), "score")), 10)
 
 
@@ -67,7 +67,7 @@ def i_term_overlap(spark, sf):
     q = token_rows(_named(_asked(spark, sf)), "query_id", "text").distinct()
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     asked = q.join(n, "query_id").select("query_id", "term", (1 / F.col("n")).alias("w"))
-    found = retrieval.sparse_top_k(cut(d), cut(asked), 5)
+    found = retrieval.sparse_top_k(cut(retrieval.packed(d, "doc_id")), cut(retrieval.packed(asked, "query_id")), 5)
     return _plan_top(found.withColumn("score", F.round("score", 6)), 5)
 
 

@@ -72,6 +72,7 @@ def test_block_search_equals_all_pairs(spark):
             if t == u:
                 score[i, j] += w * v
     want = {(i, j) for i in {a[0] for a in asked} for j in [x for x, _ in sorted(((j, s) for (k, j), s in score.items() if k == i), key=lambda x: (-x[1], x[0]))][:4]}
+    d, q = S.packed(d, "doc_id"), S.packed(q, "query_id")
     for blocks in ((1000, 1000), (7, 2)):
         got = S.sparse_top_k(d, q, 4, *blocks).collect()
         assert {(x.query_id, x.doc_id) for x in got} == want
