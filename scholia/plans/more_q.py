@@ -15,9 +15,9 @@ from scholia.sources.tables import table
 REFERENCE = r"(Figs?|Tab|Table|Sec|Eq|App|Alg|Thm|No)\.? \(?([0-9]+(?:\.[0-9]+)?)"
 UNITS = "%|percent|points|epochs|GPU hours|μm|Å"
 QUOTE = "[\"“]([^\"“”]{3,200})[\"”]"
-#: A number, its thousands grouped by commas or not.
+#: A number, its thousands grouped by commas or not; WRITTEN is the same without looking behind, which the oracle cannot.
+GROUPED = r"(?:(?<![0-9])(?<![0-9]\.)[1-9][0-9]{0,2}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?"
 WRITTEN = r"(?:[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?\b|[0-9]+(?:\.[0-9]+)?)"
-GROUPED = WRITTEN
 GROUPED_QUANTITY = f"({GROUPED}) ?({UNITS})"
 
 

@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,7 +122,10 @@ def write_with_manifest(df: DataFrame, folder: str, keys: list[str], partitions:
 def read_checked(spark: SparkSession, folder: str, kind: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """A folder written with a manifest; refused where a file is missing or its hash differs."""
     manifest = json.loads(spark.read.text(f"{folder}/_manifest").first()[0])
-    held = {r["file"]: r["sha256"] for r in _hashed(spark, folder, f"*.{kind}").collect()}
+    try:
+        held = {r["file"]: r["sha256"] for r in _hashed(spark, folder, f"*.{kind}").collect()}
+    except (Py4JJavaError, PySparkException) as e:  # a file system with checksums of its own may refuse first
+        raise ValueError(f"a file of {folder} cannot be read") from e
     for x in manifest["files"]:
         if held.get(x["file"]) != x["sha256"]:
             raise ValueError(f"{x['file']} is not the file of the manifest")

@@ -30,3 +30,23 @@ def test_bootstrap_resamples_as_often_as_the_reference(spark, sf):
     assert inspect.signature(aggregates_q.d_bootstrap).parameters["rounds"].default == 2000
     got, want = (q.toPandas().sort_values("risk_code", ignore_index=True) for q in (aggregates_q.d_bootstrap(spark, sf), aggregates_q.d_bootstrap(spark, sf, rounds=2000)))
     assert got.equals(want) and (got["low"] <= got["mean"]).all() and (got["mean"] <= got["high"]).all()
+
+
+def test_bootstrap_is_near_the_normal_interval(spark, sf):
+    """Resampled means of a code lie within about two standard errors of its mean."""
+    import numpy as np
+
+    from scholia.plans.aggregates_q import d_bootstrap
+    from scholia.plans.common import first
+
+    held = {}
+    for r in first(spark, sf, "risk_tags", "risk_code", "confidence").where("confidence IS NOT NULL").collect():
+        held.setdefault(r.risk_code, []).append(r.confidence)
+    rows = d_bootstrap(spark, sf).collect()
+    assert {r.risk_code for r in rows} == set(held)
+    for r in rows:
+        x = np.array(held[r.risk_code])
+        error = x.std() / np.sqrt(len(x))
+        assert abs(r.mean - x.mean()) < 1e-4
+        if len(x) > 20:
+            assert abs(r.low - (r.mean - 1.96 * error)) < 0.5 * error + 1e-4 and abs(r.high - (r.mean + 1.96 * error)) < 0.5 * error + 1e-4
