@@ -161,9 +161,12 @@ def plain_document(text: str) -> Any:
 
 
 def _text(value: Any) -> str:
-    return value if isinstance(value, str) else json.dumps(value)
+    """A scalar as text, other than text as JSON has it."""
+    kind = type(value)
+    return value if kind is str else int.__repr__(value) if kind is int else json.dumps(value)
 
 
+_CONTAINERS = (dict, list)
 _TYPES = {str: "s", int: "n", float: "n", bool: "b", type(None): "0"}
 
 
@@ -178,6 +181,7 @@ class Shredder:
         self.rows: list[tuple] = []
         self.seen: set[bytes] = set()
         self.scalars: dict[tuple, bytes] = {}
+        self.names: dict[str, bytes] = {}
 
     def scalar(self, value: Any) -> bytes:
         key = (type(value), value)
@@ -200,11 +204,13 @@ class Shredder:
         Containers are listed parents first and hashed in the opposite order, so
         all members of one have their identity before it.
         """
-        if not isinstance(value, dict | list):
+        if not isinstance(value, _CONTAINERS):
             return self.scalar(value)
         order = [value]
         for v in order:
-            order += [x for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, dict | list)]
+            for x in v.values() if isinstance(v, dict) else v:
+                if isinstance(x, _CONTAINERS):
+                    order.append(x)
         done: dict[int, bytes] = {}
         for v in reversed(order):
             if id(v) not in done:
@@ -212,12 +218,12 @@ class Shredder:
         return done[id(value)]
 
     def _ids(self, items: list, done: dict[int, bytes]) -> list[bytes]:
-        return [done[id(x)] if isinstance(x, dict | list) else self.scalar(x) for x in items]
+        return [done[id(x)] if isinstance(x, _CONTAINERS) else self.scalar(x) for x in items]
 
     def _edges(self, parent: bytes, field: str, items: list, ids: list[bytes]) -> None:
         for at, (own, x) in enumerate(zip(ids, items), 1):
             self.rows.append(("edge", None, None, parent, field, at, own, None, None))
-            if not isinstance(x, dict | list):
+            if not isinstance(x, _CONTAINERS):
                 self.stored(own, "=" + _TYPES[type(x)], [("", None if x is None else _text(x))])
 
     def _list(self, items: list, done: dict[int, bytes]) -> bytes:
@@ -227,7 +233,7 @@ class Shredder:
         parts, types, scalars = [], [], []
         for k in sorted(value):
             v = value[k]
-            if isinstance(v, dict | list):
+            if isinstance(v, _CONTAINERS):
                 own = done[id(v)]
                 if not isinstance(v, dict) and not v:
                     types.append("l")
@@ -236,8 +242,11 @@ class Shredder:
                 own = self.scalar(v)
                 types.append(_TYPES[type(v)])
                 scalars.append((k, None if v is None else _text(v)))
-            name = k.encode("utf-8", "surrogatepass")
-            parts += [b"%d:%s" % (len(name), name), own]
+            name = self.names.get(k)
+            if name is None:
+                name = k.encode("utf-8", "surrogatepass")
+                name = self.names[k] = b"%d:%s" % (len(name), name)
+            parts += (name, own)
         own = _digest(b"o", parts)
         if self.stored(own, "".join(types), scalars):
             for k, v in value.items():
