@@ -117,8 +117,8 @@ def i_search_documents(spark, sf):
     _, posts, stats, asked = _documents(spark, sf)
     lexical = retrieval.bm25_scores(posts, asked, stats.docs, stats.avg or 1.0).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "doc_id", F.round("score", 9).alias("score"))
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    # Beyond the 200 nearest vectors a document is reached by its words.
-    near = retrieval.dense_top_k(v, v.where("doc_id % 20 = 0 AND doc_id > 0").select(F.col("doc_id").alias("query_id"), "embedding"), 200)
+    # The blend may lift any vector, so all are kept, not the nearest only.
+    near = retrieval.dense_top_k(v, v.where("doc_id % 20 = 0 AND doc_id > 0").select(F.col("doc_id").alias("query_id"), "embedding"), max(1, v.count()))
     dense = near.select(F.col("query_id").alias("request"), F.lit("full").alias("axis"), "doc_id", "score")
     knobs = H.Knobs(quota=0)
     rows = H.combined(lexical, dense, _coverage(asked, posts, stats.docs), knobs).where("request <> doc_id")
