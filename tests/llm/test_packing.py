@@ -36,3 +36,10 @@ def test_whole_and_cut_documents(spark):
     assert packing.packed(sizes.limit(0), [("p", 10)]).count() == 0
     with pytest.raises(ValueError):
         packing.packed(sizes, [("p", 0)])
+
+
+def test_null_and_repeated_ids_beyond_the_capacity(spark):
+    sizes = spark.createDataFrame([(None, 25), (None, 25), (1, 25), (1, 25), (None, None)], "doc_id bigint, n_tokens bigint")
+    got = packing.packed(sizes, [("p", 10)])
+    assert got.groupBy("container_id").sum("n_tokens").toPandas()["sum(n_tokens)"].max() <= 10
+    assert got.toPandas().n_tokens.sum() == 100
