@@ -43,6 +43,7 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(_found(text), _is_token), stem)
 
 
-def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term): the tokens of a text as rows. Unlike ``tokens`` all that is done to one is compiled code."""
-    return df.select(key, F.explode(_found(F.col(text))).alias("_t")).where(_is_token(F.col("_t"))).select(key, stem(F.col("_t")).alias("term"))
+def token_rows(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
+    """(key, term): the tokens of a text as rows, under one key column or several. Unlike ``tokens`` all that is done to one is compiled code."""
+    keys = [key] if isinstance(key, str) else key
+    return df.select(*keys, F.explode(_found(F.col(text))).alias("_t")).where(_is_token(F.col("_t"))).select(*keys, stem(F.col("_t")).alias("term"))

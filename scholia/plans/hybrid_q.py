@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.functions.tokens import token_rows
+from scholia.operators import blocks, retrieval
 from scholia.operators import hybrid as H
-from scholia.operators import retrieval
 from scholia.plans.search_q import _asked, _bm25, _works, sql_scores
 from scholia.session import cut
 from scholia.sources.tables import table
@@ -92,16 +92,28 @@ def i_calibration(spark, sf):
     return tops.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top"), 6).alias("least"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"), F.round(F.max("top"), 6).alias("greatest"))
 
 
+def _all_lists(spark, sf, answer, schema):
+    """What ``answer`` gives of each plan, of its lists over all works; by words alone: works have no vectors."""
+    asked = _asked(spark, sf).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "text")
+    return blocks.search(_works(spark, sf), asked, answer, schema)
+
+
+def _placed(lists, index, knobs):
+    """(documents of the k places, fused, best in units, orders) of one plan."""
+    orders = [blocks.passing(x, round(knobs.floor * blocks.UNIT)) for x in lists]
+    score, best = blocks.fused(lists, orders, knobs, index.n)
+    return blocks.top(score, best, knobs.k), score, best, orders
+
+
 def c_top_k_compare(spark, sf):
     """The two fusions against each other: works in both, entered or dropped, and the greatest move, per plan."""
-    rows, _ = _plans(spark, sf, RRF)
-    passing = H.ranked(rows, RRF)
-    side = lambda k, name: H.top(H.fused(passing, k), 10).select("request", "doc_id", F.col("place").alias(name))
-    both = side(RRF, "a").join(side(MAX, "b"), ["request", "doc_id"], "full_outer")
-    n = lambda c: F.sum(c.cast("int"))
-    return both.groupBy("request").agg(
-        n(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), n(F.col("a").isNull()).alias("n_entered"), n(F.col("b").isNull()).alias("n_dropped"), F.coalesce(F.max(F.abs(F.col("a") - F.col("b"))), F.lit(0)).alias("greatest_move"),
-    )
+
+    def answer(request, lists, index):
+        a, b = ({d: place for place, d in enumerate(_placed(lists, index, knobs)[0], 1)} for knobs in (RRF, MAX))
+        if a:
+            yield request, len(a.keys() & b.keys()), len(b.keys() - a.keys()), len(a.keys() - b.keys()), max((abs(a[d] - b[d]) for d in a.keys() & b.keys()), default=0)
+
+    return _all_lists(spark, sf, answer, "request string, n_both bigint, n_entered bigint, n_dropped bigint, greatest_move int")
 
 
 def _documents(spark, sf):
