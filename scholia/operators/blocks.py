@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,29 +151,45 @@ class Index:
         return out
 
 
+@lru_cache(maxsize=2)
+def _places(n: int) -> np.ndarray:
+    return n - 1 - np.arange(n)
+
+
+@lru_cache(maxsize=2)
+def _reciprocals(n: int, k: float) -> np.ndarray:
+    return 1 / (k + np.arange(1, n + 1))
+
+
 def passing(found: Listed, least: int) -> np.ndarray:
     """The documents from ``least`` units on, and above 0, best first, ties to the smaller id."""
-    held = np.flatnonzero(found.units >= max(1, least))
     n = len(found.units)
-    bits = n.bit_length()
-    key = np.sort((found.units[held] << bits) | (n - 1 - held))[::-1]
+    bits, held = n.bit_length(), found.units >= max(1, least)
+    many = int(np.count_nonzero(held))
+    units, place = (found.units, _places(n)) if 2 * many > n else (found.units[held], _places(n)[held])
+    key = np.sort((units.astype(np.int64) << bits) | place)[len(place) - many :][::-1]
     return n - 1 - (key & ((1 << bits) - 1))
 
 
+def least_units(knobs: Knobs) -> int:
+    """The floor of a search in units."""
+    return round(knobs.floor * UNIT)
+
+
 def _weight(axis: str, knobs: Knobs) -> float:
     return dict(knobs.weights).get(axis, 1.0)
 
 
 def fused(lists: list[Listed], orders: list[np.ndarray], knobs: Knobs, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fused, best): of each document by reciprocal ranks or greatest weighted score, and its best score in units; 0 where no list has it."""
-    score, best = np.zeros(n), np.zeros(n, np.int64)
+    """(fused, best): of each document by reciprocal ranks or greatest weighted score, and its best score in units; 0 where no list has it. ``orders`` are of ``passing`` and needed for ranks only."""
+    score, best, least = np.zeros(n), np.zeros(n, np.int32), least_units(knobs)
     for x, order in zip(lists, orders):
-        w = _weight(x.axis, knobs)
+        w, units = _weight(x.axis, knobs), x.units if least <= 1 else np.where(x.units >= least, x.units, 0)
+        np.maximum(best, units, out=best)
         if knobs.fusion == "rrf":
-            score[order] += w / (knobs.rrf_k + np.arange(1, len(order) + 1))
+            score[order] += w * _reciprocals(n, knobs.rrf_k)[: len(order)]
         else:
-            score[order] = np.maximum(score[order], w * (x.units[order] / UNIT))
-        best[order] = np.maximum(best[order], x.units[order])
+            np.maximum(score, w * (units / UNIT), out=score)
     return half_up(score), best
 
 
@@ -211,7 +228,7 @@ def search(documents: DataFrame, queries: DataFrame, answer: Answer, schema: str
         for w in weighings:
             scores = index.scores([(t, ws[w]) for _, _, t, ws, _ in lists], w)
             for (r, axis, t, _, coverage), row in zip(lists, scores):
-                units = np.rint(np.minimum(row, 1.0) * UNIT).astype(np.int64)
+                units = np.rint(np.minimum(row, 1.0) * UNIT).astype(np.int32)
                 found.setdefault(id(r), []).append(Listed(axis, w, coverage, len(t) > 0, units))
         for r in requests:
             yield from answer(r["request"], found[id(r)], index)

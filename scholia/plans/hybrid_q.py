@@ -58,8 +58,12 @@ def i_search_quota(spark, sf):
 
 def i_axis_scores(spark, sf):
     """Of each of a plan's ten works its best score on each axis."""
-    _, _, passing, results = _results(spark, sf, RRF)
-    return H.axis_scores(passing, results).select("request", "doc_id", "axis", "score")
+
+    def answer(request, lists, index):
+        for d in _placed(lists, index, RRF)[0]:
+            yield from ((request, index.ids[d].as_py(), x.axis, x.units[d] / blocks.UNIT) for x in lists if x.units[d] > 0)
+
+    return _all_lists(spark, sf, answer, "request string, doc_id string, axis string, score double")
 
 
 def i_query_status(spark, sf):
@@ -98,9 +102,9 @@ def _all_lists(spark, sf, answer, schema):
     return blocks.search(_works(spark, sf), asked, answer, schema)
 
 
-def _placed(lists, index, knobs):
+def _placed(lists, index, knobs, orders=None):
     """(documents of the k places, fused, best in units, orders) of one plan."""
-    orders = [blocks.passing(x, round(knobs.floor * blocks.UNIT)) for x in lists]
+    orders = [blocks.passing(x, blocks.least_units(knobs)) for x in lists] if orders is None else orders
     score, best = blocks.fused(lists, orders, knobs, index.n)
     return blocks.top(score, best, knobs.k), score, best, orders
 
@@ -109,7 +113,9 @@ def c_top_k_compare(spark, sf):
     """The two fusions against each other: works in both, entered or dropped, and the greatest move, per plan."""
 
     def answer(request, lists, index):
-        a, b = ({d: place for place, d in enumerate(_placed(lists, index, knobs)[0], 1)} for knobs in (RRF, MAX))
+        a, _, _, orders = _placed(lists, index, RRF)
+        b = _placed(lists, index, MAX, orders)[0]
+        a, b = ({d: place for place, d in enumerate(x, 1)} for x in (a.tolist(), b.tolist()))
         if a:
             yield request, len(a.keys() & b.keys()), len(b.keys() - a.keys()), len(a.keys() - b.keys()), max((abs(a[d] - b[d]) for d in a.keys() & b.keys()), default=0)
 
