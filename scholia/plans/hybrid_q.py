@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholia.functions.tokens import token_rows
 from scholia.operators import blocks, retrieval
 from scholia.operators import hybrid as H
-from scholia.plans.search_q import _asked, _bm25, _works, sql_scores
+from scholia.plans.search_q import _all_lists, _asked, _bm25, _works, sql_scores
 from scholia.session import cut
 from scholia.sources.tables import table
 
@@ -96,12 +96,6 @@ def i_calibration(spark, sf):
     return tops.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top"), 6).alias("least"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"), F.round(F.max("top"), 6).alias("greatest"))
 
 
-def _all_lists(spark, sf, answer, schema):
-    """What ``answer`` gives of each plan, of its lists over all works; by words alone: works have no vectors."""
-    asked = _asked(spark, sf).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "text")
-    return blocks.search(_works(spark, sf), asked, answer, schema)
-
-
 def _placed(lists, index, knobs, orders=None):
     """(documents of the k places, fused, best in units, orders) of one plan."""
     orders = [blocks.passing(x, blocks.least_units(knobs)) for x in lists] if orders is None else orders

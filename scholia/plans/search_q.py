@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from scholia.functions.cues import DETECT, NEGATIVE, POSITIVE, REJECT, SECTION_POLARITY
 from scholia.functions.tokens import token_rows
-from scholia.operators import retrieval, tagging
+from scholia.operators import blocks, retrieval, tagging
+from scholia.operators.hybrid import Knobs
 from scholia.plans.common import first, first_sql
 from scholia.plans.joins_q import c_section_carried
 from scholia.plans.records_q import SECTION, SQL_TOKENS, plan_queries, sql_plan_queries
@@ -100,14 +101,22 @@ def i_dense_labels(spark, sf):
     return near.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("own")).cast("int")).alias("n_same"))
 
 
+def _all_lists(spark, sf, answer, schema, weighings=("bm25",)):
+    """What ``answer`` gives of each plan, of its lists over all works; by words alone: works have no vectors."""
+    asked = _asked(spark, sf).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "text")
+    return blocks.search(_works(spark, sf), asked, answer, schema, weighings)
+
+
 def i_hybrid(spark, sf):
     """BM25 and token cosine of plans' queries fused by reciprocal ranks over all works with a positive score; the ten best. Lexical only: works have no vectors."""
-    a = _bm25(spark, sf).withColumn("score", F.round("score", 9))
-    c = retrieval.token_cosine(_works(spark, sf), _asked(spark, sf)).withColumn("score", F.round("cosine", 9))
-    lists = retrieval.ranked(a, "query_id", "score", "doc_id").unionByName(retrieval.ranked(c, "query_id", "score", "doc_id"))
-    weight = F.when(F.col("query_id.axis") == "evaluation", 0.5).otherwise(1.0)
-    both = retrieval.fused(lists.withColumn("weight", weight).withColumn("query_id", F.col("query_id.query_id")), "query_id", "doc_id", weight="weight").withColumn("fused", F.round("fused", 9))
-    return retrieval.top_k(both, "query_id", "fused", "doc_id", 10).select("query_id", "rank", "doc_id", "fused")
+    knobs = Knobs(quota=0)
+
+    def answer(request, lists, index):
+        score, best = blocks.fused(lists, [blocks.passing(x, 1) for x in lists], knobs, index.n)
+        for rank, d in enumerate(blocks.top(score, best, knobs.k, ties=False), 1):
+            yield request, rank, index.ids[d].as_py(), score[d]
+
+    return _all_lists(spark, sf, answer, "query_id string, rank int, doc_id string, fused double", ("bm25", "cosine"))
 
 
 def i_coverage(spark, sf):
