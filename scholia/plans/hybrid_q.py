@@ -41,7 +41,14 @@ def _results(spark, sf, knobs):
 
 def i_search(spark, sf):
     """The ten works of each plan over all its queries, by reciprocal ranks, with each work's best query."""
-    return _results(spark, sf, RRF)[3].select("request", "place", "doc_id", "fused", "best", "best_axis")
+
+    def answer(request, lists, index):
+        places, score, best, _ = _placed(lists, index, RRF)
+        for place, d in enumerate(places, 1):
+            axis = min((-x.units[d], x.axis) for x in lists if x.units[d] > 0)[1]
+            yield request, place, index.ids[d].as_py(), score[d], best[d] / blocks.UNIT, axis
+
+    return _all_lists(spark, sf, answer, "request string, place int, doc_id string, fused double, best double, best_axis string")
 
 
 def i_search_max(spark, sf):
