@@ -201,6 +201,25 @@ def top(score: np.ndarray, best: np.ndarray, k: int, ties: bool = True) -> np.nd
     return held[np.lexsort((held, -best[held] if ties else held, -score[held]))[:k]]
 
 
+def with_quota(lists: list[Listed], orders: list[np.ndarray], places: np.ndarray, knobs: Knobs) -> dict[int, bool]:
+    """The documents of the k places, and whether each is reserved.
+
+    Up to half of the places (rounded up) are given in turn to the lists, the
+    heavier first, each ``quota`` times: its best document that has no place yet;
+    the rest goes by fused order.
+    """
+    queues = [o.tolist() for _, _, o in sorted(((-_weight(x.axis, knobs), x.axis, o[: knobs.k * (knobs.quota + 1)]) for x, o in zip(lists, orders)), key=lambda x: x[:2])]
+    chosen: dict[int, bool] = {}
+    for _ in range(knobs.quota):
+        for queue in queues:
+            if len(chosen) < -(-knobs.k // 2) and (d := next((d for d in queue if d not in chosen), None)) is not None:
+                chosen[d] = True
+    for d in places.tolist():
+        if len(chosen) < knobs.k:
+            chosen.setdefault(d, False)
+    return chosen
+
+
 Answer = Callable[[str, list[Listed], Index], Iterator[tuple]]
 
 

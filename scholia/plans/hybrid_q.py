@@ -59,8 +59,14 @@ def i_search_max(spark, sf):
 def i_search_quota(spark, sf):
     """The ten works of each plan, half of the places kept for its queries in turn."""
     knobs = H.Knobs()
-    passing = H.ranked(_plans(spark, sf, knobs)[0], knobs)
-    return H.with_quota(passing, H.fused(passing, knobs), knobs)
+
+    def answer(request, lists, index):
+        places, score, best, orders = _placed(lists, index, knobs)
+        chosen = blocks.with_quota(lists, orders, places, knobs)
+        for place, d in enumerate(sorted(chosen, key=lambda d: (-score[d], -best[d], d)), 1):
+            yield request, index.ids[d].as_py(), place, score[d], best[d] / blocks.UNIT, chosen[d]
+
+    return _all_lists(spark, sf, answer, "request string, doc_id string, place int, fused double, best double, reserved boolean")
 
 
 def i_axis_scores(spark, sf):
