@@ -103,8 +103,12 @@ def i_retry(spark, sf):
 
 def i_calibration(spark, sf):
     """Spread of the plans' greatest scores, to set a floor by."""
-    rows, _ = _plans(spark, sf, RRF)
-    tops = rows.groupBy("request").agg(F.max("score").alias("top"))
+
+    def answer(request, lists, index):
+        if any(x.met for x in lists):
+            yield request, int(blocks.best_units(lists).max()) / blocks.UNIT
+
+    tops = _all_lists(spark, sf, answer, "request string, top double")
     p = lambda q: F.round(F.percentile("top", q), 6)
     return tops.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top"), 6).alias("least"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"), F.round(F.max("top"), 6).alias("greatest"))
 
