@@ -81,9 +81,14 @@ def i_axis_scores(spark, sf):
 
 def i_query_status(spark, sf):
     """How each query of a plan fared at the floor."""
-    rows, coverage, passing, results = _results(spark, sf, FLOOR)
-    s = H.status(rows, passing, results, coverage, FLOOR)
-    return s.select("request", "axis", "coverage", "top_score", "n_above", "n_in_results")
+
+    def answer(request, lists, index):
+        places, _, _, orders = _placed(lists, index, FLOOR)
+        least = blocks.least_units(FLOOR)
+        for x, order in zip(lists, orders):
+            yield request, x.axis, x.coverage, x.units.max(initial=0) / blocks.UNIT, len(order), int((x.units[places] >= least).sum())
+
+    return _all_lists(spark, sf, answer, "request string, axis string, coverage double, top_score double, n_above bigint, n_in_results bigint")
 
 
 def i_verdict(spark, sf):
