@@ -220,6 +220,11 @@ def with_quota(lists: list[Listed], orders: list[np.ndarray], places: np.ndarray
     return chosen
 
 
+def best_units(lists: list[Listed]) -> np.ndarray:
+    """The best score of each document over the lists of a request."""
+    return np.maximum.reduce([x.units for x in lists])
+
+
 Answer = Callable[[str, list[Listed], Index], Iterator[tuple]]
 
 
