@@ -106,11 +106,14 @@ def i_verdict(spark, sf):
 
 def i_retry(spark, sf):
     """Plans of which no work passes a high floor are searched again without one, and marked."""
-    high = H.Knobs(floor=0.3, quota=0)
-    rows, _ = _plans(spark, sf, high)
-    per = rows.where("relevance > 0").groupBy("request").agg(F.count_distinct(F.when(F.col("relevance") >= high.floor, F.col("doc_id"))).alias("n_above"), F.count_distinct("doc_id").alias("n_any"))
-    low = F.col("n_above") == 0
-    return per.select("request", low.alias("low_similarity"), F.when(low, F.col("n_any")).otherwise(F.col("n_above")).alias("n_candidates"))
+
+    def answer(request, lists, index):
+        best = blocks.best_units(lists)
+        above, found = int((best >= round(0.3 * blocks.UNIT)).sum()), int((best > 0).sum())
+        if found:
+            yield request, above == 0, above or found
+
+    return _all_lists(spark, sf, answer, "request string, low_similarity boolean, n_candidates bigint")
 
 
 def i_calibration(spark, sf):
