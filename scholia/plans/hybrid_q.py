@@ -53,7 +53,13 @@ def i_search(spark, sf):
 
 def i_search_max(spark, sf):
     """The same by the greatest weighted score."""
-    return _results(spark, sf, MAX)[3].select("request", "place", "doc_id", "fused", "best")
+
+    def answer(request, lists, index):
+        places, score, best, _ = _placed(lists, index, MAX, [None] * len(lists))
+        for place, d in enumerate(places, 1):
+            yield request, place, index.ids[d].as_py(), score[d], best[d] / blocks.UNIT
+
+    return _all_lists(spark, sf, answer, "request string, place int, doc_id string, fused double, best double")
 
 
 def i_search_quota(spark, sf):

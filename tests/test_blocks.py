@@ -61,6 +61,6 @@ def crowded(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["c_top_k_compare", "i_axis_scores", "i_hybrid", "i_search", "i_search_quota", "i_calibration", "i_query_status", "i_verdict", "i_retry"])
+@pytest.mark.parametrize("name", ["c_top_k_compare", "i_axis_scores", "i_hybrid", "i_search", "i_search_quota", "i_calibration", "i_query_status", "i_verdict", "i_retry", "i_search_max"])
 def test_pairs_of_plans_and_works_are_not_shuffled(spark, crowded, name):
     assert 0 < shuffled(spark, lambda: catalog.queries()[name](spark, crowded).collect()) < 10_000
