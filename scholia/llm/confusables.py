@@ -193,11 +193,11 @@ def _trie(paths: tuple[str, ...]) -> Trie:
 
 
 def default_vocabulary() -> tuple[str, ...]:
-    """The paths of the vocabulary files where the public tokenizers are installed, else none."""
+    """The paths of the vocabulary files of the public tokenizers. An error where they are not installed: without words doubtful letters stay apart, which the result would not show. To go by the table alone, give no paths as ``vocabulary_paths=()``."""
     try:
         import public_tokenizers
-    except ImportError:
-        return ()
+    except ImportError as e:
+        raise RuntimeError("the vocabularies of public_tokenizers cannot be had; give the paths of others, or () to go by the table alone") from e
     return tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
 
 
@@ -279,14 +279,14 @@ def forms(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return spread(src).mapInArrow(run, ", ".join(f"{n} {'bigint' if n == 'doc_id' else 'string' if n == 'form' else 'binary'}" for n, _ in fields))
 
 
-def twins(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = 8) -> DataFrame:
+def twins(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = 8, vocabulary_paths: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b), the smaller first: texts that differ in code points but have one form.
 
     Pairs are formed between the distinct spellings of a form and then given
     their documents, so exact copies never meet each other. A spelling's
     documents are spread over ``salts`` tasks.
     """
-    ids = cut(forms(docs, id_column, text_column).where("form_id IS NOT NULL"))
+    ids = cut(forms(docs, id_column, text_column, vocabulary_paths=vocabulary_paths).where("form_id IS NOT NULL"))
     spellings = ids.groupBy("form_id", "text_id").agg(F.lit(1).alias("one"))
     several = spellings.groupBy("form_id").agg(F.sum("one").alias("n")).where("n > 1").select("form_id")
     held = ids.join(several, "form_id", "left_semi")

@@ -1,5 +1,7 @@
+import sys
 import unicodedata
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,3 +70,12 @@ def test_the_words_decide_what_doubtful_letters_stand_for():
 def test_hot_copies_on_both_sides(spark):
     df = spark.createDataFrame([(i, "paper" if i % 3 else "рaper") for i in range(90)], "doc_id bigint, text string")
     assert C.twins(df).count() == 30 * 60
+
+
+def test_missing_vocabularies_are_an_error_unless_none_are_asked_for(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a paper"), (2, "a рареr")], "doc_id bigint, text string")
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    for run in (C.default_vocabulary, lambda: C.forms(df), lambda: C.twins(df)):
+        with pytest.raises(RuntimeError, match="public_tokenizers"):
+            run()
+    assert [tuple(r) for r in C.twins(df, vocabulary_paths=()).collect()] == [(1, 2)]
