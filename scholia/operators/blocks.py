@@ -17,14 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from scholia.functions.tokens import token_rows
 from scholia.operators.hybrid import Knobs
-from scholia.operators.retrieval import K1, B
+from scholia.operators.retrieval import K1, B, top_k
 
 #: Scores are whole numbers of this part, which is their rounding to nine decimals.
 UNIT = 1e9
@@ -54,8 +54,8 @@ class Listed:
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a column of lists end to end, and their numbers."""
-    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    """The values of a column of lists end to end, and their numbers; a null has none."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
 class Index:
@@ -70,14 +70,14 @@ class Index:
         self._rows.append((np.repeat(np.arange(self.n, self.n + len(ids), dtype=np.int32), size), term, count.astype(np.int32)))
         self.n += len(ids)
 
-    def close(self) -> None:
-        """Sorts what was added by term, one segment of documents at a time."""
+    def close(self, mean: float | None = None) -> None:
+        """Sorts what was added by term, one segment of documents at a time. ``mean`` is the mean length where these are not all documents."""
         rows, self._rows = self._rows, []
         lengths, squares = np.zeros(self.n), np.zeros(self.n)
         for doc, _, count in rows:
             lengths += np.bincount(doc, count, self.n)
             squares += np.bincount(doc, count.astype(float) ** 2, self.n)
-        mean = lengths.mean() if self.n else 1.0
+        mean = mean or (lengths.mean() if self.n else 1.0) or 1.0
         self.segments = []
         while rows:
             part, held = [rows.pop(0)], 0
@@ -111,11 +111,14 @@ class Index:
             s[:] = a, b, lo, hi, doc, weights, dense
         self.ids = pa.concat_arrays(self.ids) if self.ids else pa.array([])
 
+    def at(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each term stands among those of the index, and whether it does."""
+        at = np.searchsorted(self.terms, terms)
+        return at, (at < len(self.terms)) & (np.append(self.terms, 0)[at] == terms)
+
     def asked(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict, float]:
         """Of a query: its terms that the index knows, their weights by weighing, and the share of its weight that is known."""
-        at = np.searchsorted(self.terms, terms)
-        known = np.append(self.terms, 0)[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        known &= at < len(self.terms)
+        at, known = self.at(terms)
         df = np.where(known, np.append(self.df, 0)[at], 0)
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
         most = idf.sum()
@@ -228,6 +231,18 @@ def best_units(lists: list[Listed]) -> np.ndarray:
 Answer = Callable[[str, list[Listed], Index], Iterator[tuple]]
 
 
+def _parts(requests: pa.RecordBatch, most: int) -> Iterator[list[dict]]:
+    """Requests a few at a time, of at most ``most`` lists together or one request."""
+    for at in range(0, requests.num_rows, 64):
+        part: list[dict] = []
+        for r in requests.slice(at, 64).to_pylist():
+            if part and sum(len(x["asked"]) for x in part) + len(r["asked"]) > most:
+                yield part
+                part = []
+            part.append(r)
+        yield part
+
+
 def search(documents: DataFrame, queries: DataFrame, answer: Answer, schema: str, weighings: tuple[str, ...] = ("bm25",)) -> DataFrame:
     """What ``answer`` gives of each request: rows of ``schema`` out of its id, its lists by axis and the index.
 
@@ -268,16 +283,81 @@ def search(documents: DataFrame, queries: DataFrame, answer: Answer, schema: str
             if open_:
                 index.close()
                 open_ = False
-            requests, at = b.select(["request", "asked"]).slice(n).to_pylist(), 0
             most = max(1, SCORES // max(1, index.n * len(weighings)))
-            while at < len(requests):
-                part, held = [], 0
-                while at < len(requests) and (not part or held + len(requests[at]["asked"]) <= most):
-                    part.append(requests[at])
-                    held += len(requests[at]["asked"])
-                    at += 1
+            for part in _parts(b.select(["request", "asked"]).slice(n), most):
                 rows = list(answers(index, part))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     return dealt.mapInArrow(run, kinds)
+
+
+def blend_top_k(documents: DataFrame, vectors: DataFrame, asked: Column, k: int, alpha: float) -> DataFrame:
+    """(request, doc_id, score): each document or vector for which ``asked``, a condition on doc_id, holds asks all but itself by words and vector; the k best of a relevance above 0.
+
+    ``documents`` (doc_id, text) and ``vectors`` (doc_id, embedding), ids whole
+    numbers and neither null nor repeated in ``vectors``. Scores are those of
+    ``hybrid.combined`` with an adaptive share. Here the documents are dealt out
+    and each block gets all requests: k rows per request and block are shuffled.
+    """
+    blocks = documents.sparkSession.sparkContext.defaultParallelism
+    packed = counted(documents.repartition("doc_id"), ["doc_id"])
+    length = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    stats = packed.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean"))
+    df = packed.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    # A request is a document, so the index knows all of its terms: its coverage is 1, and 0 where it has none.
+    terms = packed.where(asked).select(F.col("doc_id").alias("request"), F.explode("terms").alias("t")).join(df, "t").crossJoin(F.broadcast(stats.select("n")))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    words = terms.groupBy("request").agg(F.collect_list("t").alias("terms"), F.collect_list(idf).alias("weights"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    own = vectors.where("embedding IS NOT NULL")
+    q = words.join(own.where(asked).where("doc_id > 0").withColumnRenamed("doc_id", "request"), "request", "full_outer").select(F.lit(1).alias("kind"), "request", "terms", "weights", "embedding", every)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    d = packed.join(own, "doc_id", "full_outer").select(F.lit(0).alias("kind"), "doc_id", "terms", "counts", "embedding", block)
+    d = d.crossJoin(F.broadcast(stats.select("mean")))
+    dealt = d.unionByName(q, allowMissingColumns=True).repartitionById(blocks, "block").sortWithinPartitions("kind", "doc_id")
+    kinds = StructType.fromDDL("request bigint, doc_id bigint, score double")
+    out = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, open_, vectors_of, at = Index(("bm25",)), True, [], []
+        mean = None
+        for b in batches:
+            n = int(np.count_nonzero(b.column("kind").to_numpy() == 0))
+            if n:
+                p = b.slice(0, n)
+                mean, held = p.column("mean")[0].as_py(), np.flatnonzero(p.column("embedding").is_valid().to_numpy(zero_copy_only=False))
+                at.append(held + index.n)
+                vectors_of += [np.asarray(p.column("embedding")[i].values, np.float64) for i in held.tolist()]
+                index.add(*(p.column(c) for c in ("doc_id", "terms", "counts")))
+            if n == b.num_rows:
+                continue
+            if open_:
+                index.close(mean)
+                ids, at = index.ids.to_numpy(), np.concatenate(at) if at else np.zeros(0, int)
+                near = np.stack(vectors_of) if vectors_of else None
+                open_ = False
+            step = max(1, min(64, SCORES // max(1, index.n)))
+            for first in range(n, b.num_rows, step):
+                part = b.slice(first, min(step, b.num_rows - first)).to_pylist()
+                weighed = []
+                for r in part:
+                    t, w = np.array(r["terms"] or [], np.int64), np.array(r["weights"] or [])
+                    where, known = index.at(t)
+                    weighed.append((where[known], w[known] / w.sum() if len(w) else w))
+                names, found, scores = [], [], []
+                for r, row in zip(part, index.scores(weighed, "bm25")):
+                    share = alpha if r["terms"] else 1.0
+                    dense = np.zeros(index.n)
+                    if r["embedding"] is not None and near is not None:
+                        dense[at] = np.clip(near @ np.array(r["embedding"], np.float64), 0.0, 1.0)
+                    score = half_up(share * dense + (1 - share) * (np.rint(np.minimum(row, 1.0) * UNIT) / UNIT))
+                    relevant = (np.maximum(dense, score) > 0) & (ids != r["request"])
+                    best = top(score, relevant.astype(np.int8), k, ties=False)
+                    names += [r["request"]] * len(best)
+                    found.append(ids[best])
+                    scores.append(score[best])
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(scores))], schema=out)
+
+    return top_k(dealt.mapInArrow(run, kinds), "request", "score", "doc_id", k)

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.functions.tokens import token_rows
-from scholia.operators import blocks, retrieval
+from scholia.operators import blocks
 from scholia.operators import hybrid as H
-from scholia.plans.search_q import _all_lists, _asked, _bm25, _works, sql_scores
-from scholia.session import cut
+from scholia.plans.search_q import _all_lists, sql_scores
 from scholia.sources.tables import table
 
 RRF, MAX = H.Knobs(quota=0), H.Knobs(quota=0, fusion="max")
@@ -16,27 +14,11 @@ RRF, MAX = H.Knobs(quota=0), H.Knobs(quota=0, fusion="max")
 FLOOR = H.Knobs(floor=0.1, quota=0)
 
 
-def _coverage(queries, posts, n):
-    """(request, axis, coverage): the share of each query's weight that the index knows."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = token_rows(queries, "query_id", "text").distinct().join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    cov = F.sum(F.when(F.col("df") > 0, idf).otherwise(0.0)) / F.sum(idf)
-    return q.groupBy("query_id").agg(F.round(cov, 6).alias("coverage")).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "coverage")
-
-
-def _plans(spark, sf, knobs):
-    """(all pairs, coverage) of plans' queries and works, by words alone: works have no vectors."""
-    scores = cut(_bm25(spark, sf).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "doc_id", F.round("score", 9).alias("score")))
-    posts = cut(retrieval.postings(_works(spark, sf), "doc_id", "text"))
-    coverage = _coverage(_asked(spark, sf), posts, posts.select("doc_id").distinct().count())
-    return H.combined(scores, None, coverage, knobs), coverage
-
-
-def _results(spark, sf, knobs):
-    rows, coverage = _plans(spark, sf, knobs)
-    passing = H.ranked(rows, knobs)
-    return rows, coverage, passing, H.top(H.fused(passing, knobs), knobs.k)
+def _placed(lists, index, knobs, orders=None):
+    """(documents of the k places, fused, best in units, orders) of one plan."""
+    orders = [blocks.passing(x, blocks.least_units(knobs)) for x in lists] if orders is None else orders
+    score, best = blocks.fused(lists, orders, knobs, index.n)
+    return blocks.top(score, best, knobs.k), score, best, orders
 
 
 def i_search(spark, sf):
@@ -134,13 +116,6 @@ def i_calibration(spark, sf):
     return tops.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top"), 6).alias("least"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"), F.round(F.max("top"), 6).alias("greatest"))
 
 
-def _placed(lists, index, knobs, orders=None):
-    """(documents of the k places, fused, best in units, orders) of one plan."""
-    orders = [blocks.passing(x, blocks.least_units(knobs)) for x in lists] if orders is None else orders
-    score, best = blocks.fused(lists, orders, knobs, index.n)
-    return blocks.top(score, best, knobs.k), score, best, orders
-
-
 def c_top_k_compare(spark, sf):
     """The two fusions against each other: works in both, entered or dropped, and the greatest move, per plan."""
 
@@ -154,26 +129,12 @@ def c_top_k_compare(spark, sf):
     return _all_lists(spark, sf, answer, "request string, n_both bigint, n_entered bigint, n_dropped bigint, greatest_move int")
 
 
-def _documents(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id IS NOT NULL")
-    posts = cut(retrieval.postings(docs.select("doc_id", "text"), "doc_id", "text"))
-    stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg")).first()
-    asked = docs.where("doc_id % 20 = 0").select(F.struct(F.col("doc_id").alias("query_id"), F.lit("full").alias("axis")).alias("query_id"), "text")
-    return docs, posts, stats, asked
-
-
 def i_search_documents(spark, sf):
     """Words and vectors together: every document whose id is divisible by 20 asks all documents but itself; the ten best by the blend. The vector of a document is the one of its id; not all have one."""
-    _, posts, stats, asked = _documents(spark, sf)
-    lexical = retrieval.bm25_scores(posts, asked, stats.docs, stats.avg or 1.0).select(F.col("query_id.query_id").alias("request"), F.col("query_id.axis").alias("axis"), "doc_id", F.round("score", 9).alias("score"))
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
     # The blend may lift any vector, so all are kept, not the nearest only.
-    near = retrieval.dense_top_k(v, v.where("doc_id % 20 = 0 AND doc_id > 0").select(F.col("doc_id").alias("query_id"), "embedding"), max(1, v.count()))
-    dense = near.select(F.col("query_id").alias("request"), F.lit("full").alias("axis"), "doc_id", "score")
-    knobs = H.Knobs(quota=0)
-    rows = H.combined(lexical, dense, _coverage(asked, posts, stats.docs), knobs).where("request <> doc_id")
-    passing = H.ranked(rows, knobs)
-    return passing.where("rank <= 10").select("request", "rank", "doc_id", "score")
+    v = table(spark, sf, "embeddings").where("vec_id IS NOT NULL").groupBy(F.col("vec_id").alias("doc_id")).agg(F.min("embedding").alias("embedding"))
+    return blocks.blend_top_k(docs, v, F.col("doc_id") % 20 == 0, 10, RRF.alpha).select("request", "rank", "doc_id", "score")
 
 
 Q = (i_search, i_search_max, i_search_quota, i_axis_scores, i_query_status, i_verdict, i_retry, i_calibration, c_top_k_compare, i_search_documents)

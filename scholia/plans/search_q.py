@@ -33,14 +33,6 @@ def i_index_statistics(spark, sf):
     return posts.agg(n.alias("n_docs"), F.round(F.sum("tf") / n, 6).alias("avg_len"), F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))
 
 
-def _bm25(spark, sf):
-    docs = _works(spark, sf)
-    posts = cut(retrieval.postings(docs, "doc_id", "text"))
-    # Two numbers of the corpus come to the driver.
-    stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg")).first()
-    return retrieval.bm25_scores(posts, _asked(spark, sf), stats.docs, stats.avg or 1.0)
-
-
 def _named(asked):
     """Queries under one text: the plan's id and the axis."""
     return asked.select(F.concat_ws("\u0001", "query_id.query_id", "query_id.axis").alias("query_id"), "text")

@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scholia.operators import blocks
+from pyspark.sql import functions as F
+
+from scholia.operators import blocks, hybrid, retrieval
 from scholia.plans import catalog
 
 
@@ -64,3 +66,29 @@ def crowded(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["c_top_k_compare", "i_axis_scores", "i_hybrid", "i_search", "i_search_quota", "i_calibration", "i_query_status", "i_verdict", "i_retry", "i_search_max"])
 def test_pairs_of_plans_and_works_are_not_shuffled(spark, crowded, name):
     assert 0 < shuffled(spark, lambda: catalog.queries()[name](spark, crowded).collect()) < 10_000
+
+
+def test_pairs_of_documents_are_not_shuffled(spark, tmp_path):
+    r = random.Random(4)
+    words = lambda: "common " + " ".join(r.choices("alpha beta gamma delta kappa sigma".split(), k=3))
+    spark.createDataFrame([(i, words()) for i in range(1200)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert 0 < shuffled(spark, lambda: catalog.queries()["i_search_documents"](spark, str(tmp_path)).collect()) < 20_000
+
+
+def test_blend_equals_the_join_of_all_pairs(spark):
+    r = random.Random(8)
+    rows = [(r.randint(0, 60), " ".join(r.choices("alpha beta gamma delta kappa sigma omega".split(), k=r.randint(1, 6)))) for _ in range(90)] + [(70, None), (80, "the"), (90, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    v = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(4)]) for i in (*range(0, 40, 2), 75, 100, 105)] + [(41, None)], "doc_id bigint, embedding array<float>")
+    asked = F.col("doc_id") % 5 == 0
+    posts = retrieval.postings(docs, "doc_id", "text")
+    stats = posts.groupBy("doc_id").agg(F.first("doc_len").alias("n")).agg(F.count("n").alias("docs"), F.avg("n").alias("avg")).first()
+    lexical = retrieval.bm25_scores(posts, docs.where(asked).withColumnRenamed("doc_id", "query_id"), stats.docs, stats.avg).select(F.col("query_id").alias("request"), F.lit("full").alias("axis"), "doc_id", F.round("score", 9).alias("score"))
+    dense = retrieval.dense_top_k(v, v.where(asked).where("doc_id > 0").withColumnRenamed("doc_id", "query_id"), 100).select(F.col("query_id").alias("request"), F.lit("full").alias("axis"), "doc_id", "score")
+    coverage = lexical.select("request", "axis", F.lit(1.0).alias("coverage")).distinct()
+    every = hybrid.combined(lexical, dense, coverage, hybrid.Knobs()).where("request <> doc_id")
+    want = hybrid.ranked(every, hybrid.Knobs()).where("rank <= 7").select("request", "rank", "doc_id", "score")
+    got = blocks.blend_top_k(docs, v, asked, 7, 0.6).select("request", "rank", "doc_id", "score")
+    key = lambda df: sorted((x.request, x["rank"], x.doc_id, round(x.score, 8)) for x in df.collect())
+    assert key(got) == key(want) and {75, 100, 105} <= {x.request for x in got.collect()}
