@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from scholia.operators import blocks, hybrid, retrieval
+from scholia.operators import blocks, containment, hybrid, retrieval
 from scholia.plans import catalog
 
 
@@ -92,3 +92,17 @@ def test_blend_equals_the_join_of_all_pairs(spark):
     got = blocks.blend_top_k(docs, v, asked, 7, 0.6).select("request", "rank", "doc_id", "score")
     key = lambda df: sorted((x.request, x["rank"], x.doc_id, round(x.score, 8)) for x in df.collect())
     assert key(got) == key(want) and {75, 100, 105} <= {x.request for x in got.collect()}
+
+
+def test_runs_of_words_are_not_shuffled(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    hays = [(f"h{i}", " ".join(r.choices(words, k=80))) for i in range(60)] + [("none", None), ("empty", "")]
+    needles = [(f"n{i}", " ".join(r.choices(words, k=r.randint(1, 3)))) for i in range(40)] + [("long", hays[3][1][3:]), ("whole", hays[4][1]), ("null", None), ("cut", hays[5][1][1:40]), ("spaced", "  " + hays[6][1].replace(" ", "\n\t") + " ")]
+    squeeze = lambda t: " ".join(t.split())
+    want = {(a, b) for a, n in needles for b, h in hays if n and h and f" {squeeze(n)} " in f" {h} "}
+    n, h = spark.createDataFrame(needles, "needle_id string, text string"), spark.createDataFrame(hays, "hay_id string, text string")
+    got = []
+    assert 0 < shuffled(spark, lambda: got.extend(containment.contained(n, h, 1).collect())) < 10_000
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, containment.contained(n, h, 1, block_needles=7).collect())) == sorted(want)
