@@ -302,9 +302,14 @@ def blend_top_k(documents: DataFrame, vectors: DataFrame, asked: Column, k: int,
     """
     blocks = documents.sparkSession.sparkContext.defaultParallelism
     packed = counted(documents.repartition("doc_id"), ["doc_id"])
-    length = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    stats = packed.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean"))
-    df = packed.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    # How many documents hold a term how often; each document also holds a mark, 0 times. All figures of the corpus
+    # follow from this one small table, whose keys are never null, so that no filter sets its uses apart.
+    marked = F.arrays_zip(F.array_append("terms", F.lit(0).cast("bigint")), F.array_append("counts", F.lit(0)))
+    each = packed.select(F.inline(marked)).toDF("t", "tf").select(F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("tf", F.lit(0)).alias("tf"))
+    held = each.groupBy("t", "tf").agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum(F.when(F.col("tf") == 0, F.col("c")))
+    stats = held.agg(n.alias("n"), (F.sum(F.col("tf") * F.col("c")) / n).alias("mean"))
+    df = held.groupBy("t").agg(F.sum(F.when(F.col("tf") > 0, F.col("c"))).alias("df"))
     # A request is a document, so the index knows all of its terms: its coverage is 1, and 0 where it has none.
     terms = packed.where(asked).select(F.col("doc_id").alias("request"), F.explode("terms").alias("t")).join(df, "t").crossJoin(F.broadcast(stats.select("n")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
